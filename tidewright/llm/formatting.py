@@ -23,15 +23,15 @@ def canonical(c: Column) -> Column:
     return F.regexp_replace(fold(c), rf"[\p{{P}}{SPACE}]+", "")
 
 
-def keyed(df: DataFrame, fields: tuple[str, str], id_col: str) -> DataFrame:
-    """(id, h128, h64) of every row whose two fields are both present."""
+def keyed(df: DataFrame, fields: tuple[str, str], id_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, h128, h64) and the columns to keep of every row whose two fields are both present."""
     a, b = (canonical(F.col(f)) for f in fields)
     rows = df.filter(~is_blank(F.col(fields[0])) & ~is_blank(F.col(fields[1])))
     both = F.concat(F.least("_a", "_b"), F.lit("\x00"), F.greatest("_a", "_b"))
     return (
-        rows.select(F.col(id_col).alias("id"), a.alias("_a"), b.alias("_b"))
-        .select("id", both.alias("_t"))
-        .select("id", F.unhex(F.md5("_t")).alias("h128"), F.xxhash64("_t").alias("h64"))
+        rows.select(F.col(id_col).alias("id"), a.alias("_a"), b.alias("_b"), *keep)
+        .select("id", both.alias("_t"), *keep)
+        .select("id", *keep, F.unhex(F.md5("_t")).alias("h128"), F.xxhash64("_t").alias("h64"))
     )
 
 

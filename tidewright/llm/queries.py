@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import formatting, packing, sampling
+from . import formatting, packing, sampling, splits
 
 
 def p3_found(spark: SparkSession, base: str) -> DataFrame:
@@ -18,6 +18,14 @@ def p3_records(spark: SparkSession, base: str) -> DataFrame:
     return formatting.collapse(table(spark, base, "shipment_labels"))
 
 
+def p4_found(spark: SparkSession, base: str) -> DataFrame:
+    return splits.row_pairs(*splits.overlaps(table(spark, base, "shipment_labels")))
+
+
+def p4_report(spark: SparkSession, base: str) -> DataFrame:
+    return splits.report(*splits.overlaps(table(spark, base, "shipment_labels")))
+
+
 def p5_found(spark: SparkSession, base: str) -> DataFrame:
     return sampling.unmet(p5_report(spark, base))
 

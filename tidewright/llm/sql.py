@@ -27,7 +27,27 @@ demand AS (
   LEFT JOIN have h ON h.split = lower(trim(t.split)) AND h.category = lower(trim(t.category_name)))
 """
 
+_OVERLAPS = rf"""
+{_KEYED},
+sided AS (
+  SELECT id, coalesce(lower(trim(k.split, E' \t\r\n')), 'train') AS split, k.source, x, y, e.n, e.elements
+  FROM keyed k JOIN (
+    SELECT id, sum(c)::BIGINT AS n, list(w || '#' || j) AS elements
+    FROM (SELECT id, w, c, unnest(range(c)) AS j FROM (
+      SELECT id, w, count(*) AS c FROM (
+        SELECT id, unnest(regexp_extract_all(lower(upper(cargo_text || ' ' || commodity_text)), '[\p{{L}}\p{{N}}]+')) AS w FROM shipment_labels) GROUP BY ALL))
+    GROUP BY id) e USING (id)),
+sizes AS (SELECT id, count(*) AS n FROM (SELECT id, unnest(elements) FROM sided) GROUP BY id),
+element AS (SELECT s.id, s.split, z.n, unnest(s.elements) AS w FROM sided s JOIN sizes z USING (id)),
+pair AS (
+  SELECT e.id AS e, t.id AS t FROM element e JOIN element t ON e.w = t.w AND e.split IN ('validation', 'test') AND t.split = 'train'
+  GROUP BY e.id, t.id, e.n, t.n HAVING 4 * count(*) >= 3 * greatest(e.n, t.n)
+  UNION
+  SELECT e.id, t.id FROM sided e JOIN sided t ON e.x = t.x AND e.y = t.y AND e.split IN ('validation', 'test') AND t.split = 'train')
+"""
+
 SQL = {
+    "p4_found": f"WITH {_OVERLAPS} SELECT least(e, t) AS id_a, greatest(e, t) AS id_b FROM pair",
     "p3_found": f"""
 WITH {_KEYED}
 SELECT rep_id, id FROM (SELECT id, min(id) OVER (PARTITION BY x, y) AS rep_id FROM keyed) WHERE id <> rep_id
