@@ -5,9 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import formatting, packing, sampling, splits
+from . import formatting, neighbours, packing, sampling, splits
+
+
+def p1_found(spark: SparkSession, base: str) -> DataFrame:
+    found = neighbours.neighbours(table(spark, base, "shipment_classifications"), k=10, min_similarity=0.80)
+    return found.select(F.col("id").alias("shipment_id"), "neighbour_id")
+
+
+def p1_neighbours(spark: SparkSession, base: str) -> DataFrame:
+    found = neighbours.neighbours(table(spark, base, "shipment_classifications"), k=10, probes=(4, 4, 4, 4))
+    return found.select(F.col("id").alias("shipment_id"), "neighbour_id", "similarity")
 
 
 def p3_found(spark: SparkSession, base: str) -> DataFrame:

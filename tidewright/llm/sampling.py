@@ -28,6 +28,7 @@ from ..runtime import cut
 FAN_IN = 16
 LEVELS = 3
 _FLOWN = "id long, split string, category string, pi double, part long"
+_OPEN = pa.schema([("id", pa.int64()), ("split", pa.string()), ("category", pa.string()), ("pi", pa.float64())])
 _EPS = 1e-9
 
 
@@ -100,11 +101,11 @@ def draw(labels: DataFrame, demand: DataFrame, seed: int = 7) -> DataFrame:
 
         part, left = TaskContext.get().partitionId(), None
         for k, b in enumerate(batches):  # what a batch leaves undecided flies again with the next
-            t = pa.Table.from_batches([b])
+            t = pa.Table.from_batches([b]).cast(_OPEN)
             t = _fly(t if left is None else pa.concat_tables([left, t]), part, seed + k * 1_000_003, False)
             p = t.column("pi").to_numpy()
             open_ = (p > 0) & (p < 1)
-            left = t.filter(pa.array(open_)).select(["id", "split", "category", "pi"])
+            left = t.filter(pa.array(open_)).select(_OPEN.names).cast(_OPEN)
             yield from t.filter(pa.array(p == 1)).to_batches()
         if left is not None:
             yield from left.append_column("part", pa.array(np.full(left.num_rows, part, np.int64))).to_batches()

@@ -46,7 +46,19 @@ pair AS (
   SELECT e.id, t.id FROM sided e JOIN sided t ON e.x = t.x AND e.y = t.y AND e.split IN ('validation', 'test') AND t.split = 'train')
 """
 
+_COSINES = """
+usable AS (
+  SELECT shipment_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM shipment_classifications
+  WHERE len(embedding) = 384 AND list_max(list_transform(embedding, lambda x: abs(x))) > 0),
+unit AS (SELECT shipment_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM usable),
+cosines AS (
+  SELECT a.shipment_id, b.shipment_id AS neighbour_id, round(list_dot_product(a.v, b.v), 6) AS similarity
+  FROM unit a JOIN unit b ON a.shipment_id <> b.shipment_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY shipment_id ORDER BY similarity DESC, neighbour_id) AS r FROM cosines)
+"""
+
 SQL = {
+    "p1_found": f"WITH {_COSINES} SELECT shipment_id, neighbour_id FROM ranked WHERE r <= 10 AND similarity >= 0.8",
     "p4_found": f"WITH {_OVERLAPS} SELECT least(e, t) AS id_a, greatest(e, t) AS id_b FROM pair",
     "p3_found": f"""
 WITH {_KEYED}
