@@ -31,11 +31,11 @@ from pyspark.sql import functions as F
 
 from ..runtime import cut
 
-DIM, WORDS, LEVELS, BEAM, DEPTH = 384, 64, 8, 4, 4
+DIM, WORDS, LEVELS, BEAM, DEPTH = 384, 64, 16, 8, 4
 ROOT = 1
 #: Rows that the codebooks are fitted on, at most.
 SAMPLE = 8192
-MAX_CELL = 1024
+MAX_CELL = 4096
 
 
 def usable(df: DataFrame, id_col: str, vec_col: str, dim: int = DIM) -> DataFrame:
@@ -106,7 +106,7 @@ def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.ndarr
         for p in range(m):
             d += 2 * gram[p, :, m][codes[:, :, p]]
         d = d.reshape(len(x), -1)
-        keep = min(beam, d.shape[1])
+        keep = min(beam if m < DEPTH else max(beam // 2, 1), d.shape[1])  # the cells need the full beam, the code does not
         best = np.argpartition(d, keep - 1, axis=1)[:, :keep]
         best = np.take_along_axis(best, np.argsort(np.take_along_axis(d, best, 1), axis=1, kind="stable"), 1)
         cost = np.take_along_axis(d, best, 1)
@@ -207,7 +207,7 @@ def _router(split: dict[int, int], blocks: dict[int, int], probes: tuple[int, ..
     return run
 
 
-def rank(q: np.ndarray, x: np.ndarray, lut: np.ndarray, code: np.ndarray, scale: np.ndarray, same: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def rank(q: np.ndarray, x: np.ndarray, x32: np.ndarray, lut: np.ndarray, code: np.ndarray, scale: np.ndarray, same: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, row, cosine) of the k best rows for each query. q, x: unit vectors in float64; same: each query's own row or -1."""
     words = lut.shape[1] // code.shape[1]
     s = np.take(lut[:, :words], code[:, 0], axis=1)
@@ -218,17 +218,16 @@ def rank(q: np.ndarray, x: np.ndarray, lut: np.ndarray, code: np.ndarray, scale:
     s[own, same[own]] = -np.inf
     r = min(4 * k, s.shape[1])
     c = np.argpartition(-s, r - 1, axis=1)[:, :r] if r < s.shape[1] else np.broadcast_to(np.arange(r), s.shape)
-    exact = np.empty(c.shape)
+    near, q32 = np.empty(c.shape, np.float32), q.astype(np.float32)
     for lo in range(0, len(q), 64):
-        exact[lo : lo + 64] = np.matmul(x[c[lo : lo + 64]], q[lo : lo + 64, :, None])[:, :, 0]
-    exact = np.where(c == same[:, None], -np.inf, np.round(exact, 6))
-    top = min(k, r)
-    o = np.argpartition(-exact, top - 1, axis=1)[:, :top] if top < r else np.broadcast_to(np.arange(r), c.shape)
-    e = np.take_along_axis(exact, o, 1)
-    # rows that tie with the last place stay in, so that ids can break the tie
-    keep = (exact >= e.min(axis=1, keepdims=True)) & (exact >= least)
-    i, j = np.nonzero(keep)
-    return i, c[i, j], exact[i, j]
+        near[lo : lo + 64] = np.matmul(x32[c[lo : lo + 64]], q32[lo : lo + 64, :, None])[:, :, 0]
+    near[c == same[:, None]] = -np.inf
+    last = np.partition(near, r - min(k, r), axis=1)[:, r - min(k, r)] if r else np.zeros(len(q))
+    # single precision tells the k best but for rounding; the rest is told apart by double precision and, at equal cosines, by id
+    i, j = np.nonzero((near >= last[:, None] - 4e-6) & (near >= least - 4e-6) & np.isfinite(near))
+    exact = np.round(np.einsum("nd,nd->n", q[i], x[c[i, j]]), 6)
+    keep = exact >= least
+    return i[keep], c[i, j][keep], exact[keep]
 
 
 def _searcher(books: np.ndarray, dim: int, k: int, least: float):
@@ -242,12 +241,13 @@ def _searcher(books: np.ndarray, dim: int, k: int, least: float):
             _, first = np.unique(h, return_index=True)
             v, code, scale = (np.concatenate([p[i] for p in held])[first] for i in (1, 2, 3))
             x = v.astype(np.float64)
-            return h[first], x / np.linalg.norm(x, axis=1, keepdims=True), code, scale
+            x /= np.linalg.norm(x, axis=1, keepdims=True)
+            return h[first], x, code, scale, x.astype(np.float32)
 
         def ask(h: np.ndarray, q: np.ndarray, same: np.ndarray) -> Iterator[pa.RecordBatch]:
             for lo in range(0, len(q), 512):
                 part = q[lo : lo + 512]
-                i, j, e = rank(part, index[1], part.astype(np.float32) @ flat.T, index[2], index[3], same[lo : lo + 512], k, least)
+                i, j, e = rank(part, index[1], index[4], part.astype(np.float32) @ flat.T, index[2], index[3], same[lo : lo + 512], k, least)
                 if len(i):
                     yield pa.RecordBatch.from_pydict({"qh": pa.array(h[lo : lo + 512][i].tolist(), pa.binary()), "xh": pa.array(index[0][j].tolist(), pa.binary()), "similarity": pa.array(e)})
 
@@ -283,7 +283,7 @@ def _searcher(books: np.ndarray, dim: int, k: int, least: float):
 
 def neighbours(
     df: DataFrame, k: int = 10, min_similarity: float | None = None, id_col: str = "shipment_id", vec_col: str = "embedding", dim: int = DIM,
-    probes: tuple[int, ...] = (2, 3, 4, 4), max_cell: int = MAX_CELL, sample: int = SAMPLE, words: int = WORDS,
+    probes: tuple[int, ...] = (2, 6, 8, 8), max_cell: int = MAX_CELL, sample: int = SAMPLE, words: int = WORDS,
 ) -> DataFrame:
     """(id, neighbour_id, similarity): the k most similar other vectors of every vector, those of min_similarity or more.
 
