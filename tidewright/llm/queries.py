@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import formatting, neighbours, packing, sampling, splits
+from ..functions.text import label
+from . import clusters, formatting, neighbours, packing, sampling, splits
 
 
 def p1_found(spark: SparkSession, base: str) -> DataFrame:
@@ -21,6 +22,18 @@ def p1_neighbours(spark: SparkSession, base: str) -> DataFrame:
     return found.select(F.col("id").alias("shipment_id"), "neighbour_id", "similarity")
 
 
+def _unclassified(spark: SparkSession, base: str) -> DataFrame:
+    return table(spark, base, "shipment_classifications").filter(label(F.col("confidence_state"), "classified") == "unclassified")
+
+
+def p2_found(spark: SparkSession, base: str) -> DataFrame:
+    return clusters.clusters(_unclassified(spark, base)).select(F.col("id").alias("shipment_id"), "cluster_id")
+
+
+def p2_clusters(spark: SparkSession, base: str) -> DataFrame:
+    return clusters.describe(clusters.clusters(_unclassified(spark, base)))
+
+
 def p3_found(spark: SparkSession, base: str) -> DataFrame:
     return formatting.copies(table(spark, base, "shipment_labels"))
 
