@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import table
 from ..functions.text import label
-from . import clusters, formatting, neighbours, packing, sampling, splits
+from . import clusters, evalleak, formatting, neighbours, packing, sampling, splits
 
 
 def p1_found(spark: SparkSession, base: str) -> DataFrame:
@@ -74,5 +74,17 @@ def p6_containers(spark: SparkSession, base: str) -> DataFrame:
     return packing.containers(p6_packed(spark, base))
 
 
+def _leaks(spark: SparkSession, base: str) -> DataFrame:
+    return evalleak.leaks(table(spark, base, "documents"), table(spark, base, "eval_items"))
+
+
+def p7_found(spark: SparkSession, base: str) -> DataFrame:
+    return _leaks(spark, base).select("doc_id", "item_id").distinct()
+
+
+def p7_items(spark: SparkSession, base: str) -> DataFrame:
+    return evalleak.leaked_items(_leaks(spark, base))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit()}
