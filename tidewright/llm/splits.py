@@ -7,7 +7,7 @@ the shares that either side needs bound how far into the order a common element
 Elements of these short texts are drawn from a small vocabulary, so one common element tells little; the prefix is
 taken longer by two and three elements at a time are the key, which is as exact and far more selective. Texts over
 `SHORT` words use single elements. Evaluation and training prefixes are joined under the length and the position
-filter, and every candidate's overlap is counted.
+filter and a bound on the difference of their bit signatures, and every candidate's overlap is counted.
 
 Rows that are equal without white space and punctuation (see formatting) but differ in their words are joined on
 that key.
@@ -72,7 +72,7 @@ def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _prefixes(freq: np.ndarray):
-    """The join keys of each class: (sig, cid, n, pos, train, eval)."""
+    """The join keys of each class: (sig, cid, n, pos, bits, train, eval); bits has one bit for each element's hash."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -81,6 +81,8 @@ def _prefixes(freq: np.ndarray):
             row = np.repeat(np.arange(len(n)), n)
             e = e[np.lexsort((e, freq[w & (BUCKETS - 1)], row))]
             at, need = _starts(n), (3 * n + 3) // 4
+            bits = np.zeros(len(n), np.int64)
+            np.bitwise_or.at(bits, row, np.int64(1) << (e.astype(np.uint64) * _M1 >> np.uint64(58)).astype(np.int64))
             sig, who, pos = [], [], []
 
             def emit(rows: np.ndarray, size: int, k: int) -> None:
@@ -108,7 +110,7 @@ def _prefixes(freq: np.ndarray):
                 k = i[lo : lo + 500_000]
                 t = pa.array(k)
                 yield pa.RecordBatch.from_pydict(
-                    {"sig": pa.array(s[lo : lo + 500_000]), "cid": b.column("cid").take(t), "n": pa.array(n[k].astype(np.int32)), "pos": pa.array(p[lo : lo + 500_000]), "train": b.column("train").take(t), "eval": b.column("eval").take(t)}
+                    {"sig": pa.array(s[lo : lo + 500_000]), "cid": b.column("cid").take(t), "n": pa.array(n[k].astype(np.int32)), "pos": pa.array(p[lo : lo + 500_000]), "bits": pa.array(bits[k]), "train": b.column("train").take(t), "eval": b.column("eval").take(t)}
                 )
 
     return keys
@@ -137,10 +139,11 @@ def overlaps(labels: DataFrame, fields: tuple[str, str] = ("cargo_text", "commod
     freq = np.zeros(BUCKETS, np.int64)
     for b, c in counts.collect():  # one number for each of BUCKETS hash buckets, whatever the vocabulary
         freq[b] = c
-    sigs = cut(classes.select("cid", "elements", "words", "n", "train", "eval").mapInArrow(_prefixes(freq), "sig long, cid long, n int, pos int, train boolean, eval boolean"))
-    a = sigs.filter("eval").select("sig", F.col("cid").alias("eval_cid"), F.col("n").alias("n"), F.col("pos").alias("p"))
-    b = sigs.filter("train").select(F.col("sig").alias("sig_"), F.col("cid").alias("train_cid"), F.col("n").alias("m"), F.col("pos").alias("q"))
-    fits = F.expr("4 * least(n, m) >= 3 * greatest(n, m) and 4 * (least(p, q) + least(n - p, m - q)) >= 3 * greatest(n, m)")
+    sigs = cut(classes.select("cid", "elements", "words", "n", "train", "eval").mapInArrow(_prefixes(freq), "sig long, cid long, n int, pos int, bits long, train boolean, eval boolean"))
+    a = sigs.filter("eval").select("sig", F.col("cid").alias("eval_cid"), F.col("n").alias("n"), F.col("pos").alias("p"), F.col("bits").alias("x"))
+    b = sigs.filter("train").select(F.col("sig").alias("sig_"), F.col("cid").alias("train_cid"), F.col("n").alias("m"), F.col("pos").alias("q"), F.col("bits").alias("y"))
+    # length, position, and bits: sets differ in as many elements as their bits do, at least
+    fits = F.expr("4 * least(n, m) >= 3 * greatest(n, m) and 4 * (least(p, q) + least(n - p, m - q)) >= 3 * greatest(n, m) and bit_count(x ^ y) <= n + m - 2 * ((3 * greatest(n, m) + 3) div 4)")
     found = a.join(b, (F.col("sig") == F.col("sig_")) & fits).select("eval_cid", "train_cid").distinct()
     text = classes.select("cid", "elements", "n", "h128", "h64")
     near = found.join(text.select(*(F.col(c).alias(f"a_{c}") for c in text.columns)), F.col("eval_cid") == F.col("a_cid"))
