@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import table
 from ..functions.text import label
-from . import clusters, evalleak, formatting, neighbours, packing, sampling, splits
+from . import clusters, evalleak, formatting, neighbours, packing, pii, sampling, splits
 
 
 def p1_found(spark: SparkSession, base: str) -> DataFrame:
@@ -86,5 +86,13 @@ def p7_items(spark: SparkSession, base: str) -> DataFrame:
     return evalleak.leaked_items(_leaks(spark, base))
 
 
+def p8_found(spark: SparkSession, base: str) -> DataFrame:
+    return pii.mentions(table(spark, base, "documents")).select("doc_id", "pii_type", "start_char").distinct()
+
+
+def p8_redacted(spark: SparkSession, base: str) -> DataFrame:
+    return pii.redacted(table(spark, base, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit()}
