@@ -158,3 +158,14 @@ def test_public_tokenizer_sizes(spark):
     got = {r["doc_id"]: r["tokens"] for r in packing.tokenizer_sizes(docs(spark, ["one two", None, ""]), str(P.path("byte_bpe_50k.json"))).collect()}
     assert got == {0: 2, 1: 0, 2: 0}
     assert F is not None
+
+
+def test_search_around_open_characters_is_the_whole_search():
+    w = pii_model.load()
+    r = random.Random(4)
+    texts = [" ".join(r.choices(TEXT.split(), k=40)) for _ in range(20)] + [TEXT + " The crew stored sacks of rings. " * 9 + TEXT]
+    x = np.zeros((len(texts), 512), np.int16)
+    for i, t in enumerate(texts):
+        c = pii_model.classes(t)[:512]
+        x[i, : len(c)] = c
+    assert (pii_model.tag(w, x) == pii_model.decode(pii_model.emissions(w, x), w["trans"])).all()

@@ -129,19 +129,51 @@ def decode(e: np.ndarray, trans: np.ndarray) -> np.ndarray:
     return tags
 
 
-def tag(w: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
-    """Tags (windows, WINDOW) of the windows x.
+#: Characters around an open one that are searched with it; see stretches().
+MARGIN = 12
 
-    A window needs no search when every character prefers O by more than all that transitions could give back.
+
+def stretches(open_: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(window, start, end) of the open characters with MARGIN around them, joined where they meet."""
+    n, length = open_.shape
+    row, at = np.nonzero(open_)
+    if not len(row):
+        return row, at, at
+    lo, hi = np.maximum(at - MARGIN, 0), np.minimum(at + MARGIN + 1, length)
+    new = np.r_[True, (row[1:] != row[:-1]) | (lo[1:] > hi[:-1])]
+    first = np.flatnonzero(new)
+    return row[first], lo[first], hi[np.r_[first[1:] - 1, len(at) - 1]]
+
+
+def tag(w: dict[str, np.ndarray], x: np.ndarray, most: int = 4096) -> np.ndarray:
+    """Tags (windows, characters) of the windows x.
+
+    A character is open unless it prefers O by more than a transition can give back. Away from open characters
+    every path through another tag loses at each step, by far more in MARGIN steps than one mention could gain, so
+    the search for the best path is made around open characters only, stretches of like length together.
     """
-    e = emissions(w, x)
-    trans = w["trans"]
+    e, trans = emissions(w, x), w["trans"]
     gain = max(0.0, float((trans - trans[0, 0]).max()))
-    lead = e[:, :, 0] - e[:, :, 1:].max(axis=2)
-    open_ = np.flatnonzero((lead <= gain).any(axis=1))
+    row, lo, hi = stretches(e[:, :, 0] - e[:, :, 1:].max(axis=2) <= gain)
     tags = np.zeros(x.shape, np.int8)
-    if len(open_):
-        tags[open_] = decode(e[open_], trans)
+    order = np.argsort(hi - lo, kind="stable")
+    k = 0
+    while k < len(order):
+        least = max(int(hi[order[k]] - lo[order[k]]), 1)
+        j = k + 1
+        while j < len(order) and j - k < most and hi[order[j]] - lo[order[j]] <= 1.25 * least + 4:
+            j += 1
+        some = order[k:j]
+        width = int((hi[some] - lo[some]).max())
+        at = np.minimum(lo[some][:, None] + np.arange(width), x.shape[1] - 1)
+        part = e[row[some][:, None], at]
+        beyond = lo[some][:, None] + np.arange(width) >= hi[some][:, None]
+        part[beyond] = 0
+        part[beyond, 1:] = -1e4
+        got = decode(part, trans)
+        keep = ~beyond
+        tags[np.broadcast_to(row[some][:, None], at.shape)[keep], at[keep]] = got[keep]
+        k = j
     return tags
 
 
