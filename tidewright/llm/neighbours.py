@@ -8,7 +8,7 @@ The leading codewords make a tree of cells, whose root holds everything: a cell
 codeword, so cells keep their size while the table grows; a cell that the deepest level cannot split is cut into
 blocks, and its queries visit every block. Every vector is a query of its own cell and of the further cells that
 its beam ends in. In a cell, a table of the query's products with all codewords is made, the sums of looked-up
-products over the stored norm give approximate cosines, and the best `4 k` of these are ranked by exact cosines.
+products over the stored norm give approximate cosines, and the best of these are ranked by exact cosines.
 
 Exact copies of a vector are collapsed before anything moves: a partition sends one of them on, a cell keeps one,
 and the first k + 1 ids of each group stand for it in the results, which is all that a list of k can need.
@@ -207,8 +207,8 @@ def _router(split: dict[int, int], blocks: dict[int, int], probes: tuple[int, ..
     return run
 
 
-def rank(q: np.ndarray, x: np.ndarray, x32: np.ndarray, lut: np.ndarray, code: np.ndarray, scale: np.ndarray, same: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, row, cosine) of the k best rows for each query. q, x: unit vectors in float64; same: each query's own row or -1."""
+def rank(q: np.ndarray, x: np.ndarray, x32: np.ndarray, lut: np.ndarray, code: np.ndarray, scale: np.ndarray, same: np.ndarray, k: int, least: float, shortlist: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, cosine) of the k best rows for each query among the `shortlist` that the codes rank first. q, x: unit vectors in float64; same: each query's own row or -1."""
     words = lut.shape[1] // code.shape[1]
     s = np.take(lut[:, :words], code[:, 0], axis=1)
     for m in range(1, code.shape[1]):
@@ -216,10 +216,13 @@ def rank(q: np.ndarray, x: np.ndarray, x32: np.ndarray, lut: np.ndarray, code: n
     s *= scale
     own = np.flatnonzero(same >= 0)
     s[own, same[own]] = -np.inf
-    r = min(4 * k, s.shape[1])
+    r = min(shortlist, s.shape[1])
     c = np.argpartition(-s, r - 1, axis=1)[:, :r] if r < s.shape[1] else np.broadcast_to(np.arange(r), s.shape)
     near, q32 = np.empty(c.shape, np.float32), q.astype(np.float32)
     for lo in range(0, len(q), 64):
+        if 6 * r > s.shape[1]:  # one product with all rows is cheaper than as many gathered ones
+            near[lo : lo + 64] = np.take_along_axis(q32[lo : lo + 64] @ x32.T, c[lo : lo + 64], 1)
+            continue
         near[lo : lo + 64] = np.matmul(x32[c[lo : lo + 64]], q32[lo : lo + 64, :, None])[:, :, 0]
     near[c == same[:, None]] = -np.inf
     last = np.partition(near, r - min(k, r), axis=1)[:, r - min(k, r)] if r else np.zeros(len(q))
@@ -230,7 +233,7 @@ def rank(q: np.ndarray, x: np.ndarray, x32: np.ndarray, lut: np.ndarray, code: n
     return i[keep], c[i, j][keep], exact[keep]
 
 
-def _searcher(books: np.ndarray, dim: int, k: int, least: float):
+def _searcher(books: np.ndarray, dim: int, k: int, least: float, shortlist: int):
     flat = books.reshape(-1, dim)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,7 +250,7 @@ def _searcher(books: np.ndarray, dim: int, k: int, least: float):
         def ask(h: np.ndarray, q: np.ndarray, same: np.ndarray) -> Iterator[pa.RecordBatch]:
             for lo in range(0, len(q), 512):
                 part = q[lo : lo + 512]
-                i, j, e = rank(part, index[1], index[4], part.astype(np.float32) @ flat.T, index[2], index[3], same[lo : lo + 512], k, least)
+                i, j, e = rank(part, index[1], index[4], part.astype(np.float32) @ flat.T, index[2], index[3], same[lo : lo + 512], k, least, shortlist)
                 if len(i):
                     yield pa.RecordBatch.from_pydict({"qh": pa.array(h[lo : lo + 512][i].tolist(), pa.binary()), "xh": pa.array(index[0][j].tolist(), pa.binary()), "similarity": pa.array(e)})
 
@@ -283,11 +286,13 @@ def _searcher(books: np.ndarray, dim: int, k: int, least: float):
 
 def neighbours(
     df: DataFrame, k: int = 10, min_similarity: float | None = None, id_col: str = "shipment_id", vec_col: str = "embedding", dim: int = DIM,
-    probes: tuple[int, ...] = (2, 6, 8, 8), max_cell: int = MAX_CELL, sample: int = SAMPLE, words: int = WORDS,
+    probes: tuple[int, ...] = (2, 6, 8, 8), max_cell: int = MAX_CELL, sample: int = SAMPLE, words: int = WORDS, shortlist: int | None = None,
 ) -> DataFrame:
     """(id, neighbour_id, similarity): the k most similar other vectors of every vector, those of min_similarity or more.
 
-    probes: entries of the beam that a query visits at each depth of the cell tree, `BEAM` at most.
+    probes: entries of the beam that a query visits at each depth of the cell tree, `BEAM` at most. shortlist: rows
+    of a cell that are reranked for a query, 4 k by default, which is enough for neighbours that stand out; where
+    many rows are about equally far, codes cannot rank them and the shortlist must be longer.
     """
     rows = usable(df, id_col, vec_col, dim)
     train = bounded_sample(rows, sample, df.count())
@@ -304,7 +309,7 @@ def neighbours(
     blocks = {c: -(-n // max_cell) for c, n in split.items() if c >= deepest}
     split = {c: n for c, n in split.items() if c < deepest}
     routed = vectors.mapInArrow(_router(split, blocks, probes), _ROUTED).repartition("cell", "block").sortWithinPartitions("cell", "block", "asks")
-    found = routed.mapInArrow(_searcher(books, dim, k, least), "qh binary, xh binary, similarity double").distinct()
+    found = routed.mapInArrow(_searcher(books, dim, k, least, shortlist or 4 * k), "qh binary, xh binary, similarity double").distinct()
     return expand(coded.select("id", "h"), found, k)
 
 

@@ -18,7 +18,7 @@ def p1_found(spark: SparkSession, base: str) -> DataFrame:
 
 
 def p1_neighbours(spark: SparkSession, base: str) -> DataFrame:
-    found = neighbours.neighbours(table(spark, base, "shipment_classifications"), k=10, probes=(8, 8, 8, 8))
+    found = neighbours.neighbours(table(spark, base, "shipment_classifications"), k=10, probes=(8, 8, 8, 8), shortlist=400)
     return found.select(F.col("id").alias("shipment_id"), "neighbour_id", "similarity")
 
 
