@@ -145,35 +145,46 @@ def stretches(open_: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row[first], lo[first], hi[np.r_[first[1:] - 1, len(at) - 1]]
 
 
-def tag(w: dict[str, np.ndarray], x: np.ndarray, most: int = 4096) -> np.ndarray:
-    """Tags (windows, characters) of the windows x.
+Stretch = tuple[int, int, np.ndarray]
+
+
+def opened(w: dict[str, np.ndarray], x: np.ndarray) -> list[Stretch]:
+    """(window, start, scores) of the stretches of the windows x that may hold mentions.
 
     A character is open unless it prefers O by more than a transition can give back. Away from open characters
-    every path through another tag loses at each step, by far more in MARGIN steps than one mention could gain, so
-    the search for the best path is made around open characters only, stretches of like length together.
+    every path through another tag loses at each step, by far more in MARGIN steps than one mention could gain.
     """
     e, trans = emissions(w, x), w["trans"]
     gain = max(0.0, float((trans - trans[0, 0]).max()))
-    row, lo, hi = stretches(e[:, :, 0] - e[:, :, 1:].max(axis=2) <= gain)
-    tags = np.zeros(x.shape, np.int8)
-    order = np.argsort(hi - lo, kind="stable")
+    found = stretches(e[:, :, 0] - e[:, :, 1:].max(axis=2) <= gain)
+    return [(r, a, e[r, a:b].copy()) for r, a, b in zip(*(f.tolist() for f in found))]
+
+
+def search(some: list[Stretch], trans: np.ndarray, most: int = 8192) -> list[np.ndarray]:
+    """The best tags of each stretch; those of like length are searched together, the more the better."""
+    order = sorted(range(len(some)), key=lambda i: len(some[i][2]))
+    out: list[np.ndarray] = [np.zeros(0, np.int8)] * len(some)
     k = 0
     while k < len(order):
-        least = max(int(hi[order[k]] - lo[order[k]]), 1)
-        j = k + 1
-        while j < len(order) and j - k < most and hi[order[j]] - lo[order[j]] <= 1.25 * least + 4:
+        limit, j = 1.4 * len(some[order[k]][2]) + 8, k + 1
+        while j < len(order) and j - k < most and len(some[order[j]][2]) <= limit:
             j += 1
-        some = order[k:j]
-        width = int((hi[some] - lo[some]).max())
-        at = np.minimum(lo[some][:, None] + np.arange(width), x.shape[1] - 1)
-        part = e[row[some][:, None], at]
-        beyond = lo[some][:, None] + np.arange(width) >= hi[some][:, None]
-        part[beyond] = 0
-        part[beyond, 1:] = -1e4
-        got = decode(part, trans)
-        keep = ~beyond
-        tags[np.broadcast_to(row[some][:, None], at.shape)[keep], at[keep]] = got[keep]
+        width = len(some[order[j - 1]][2])
+        part = np.full((j - k, width, TAGS), -1e4, np.float32)
+        part[:, :, 0] = 0
+        for n, i in enumerate(order[k:j]):
+            part[n, : len(some[i][2])] = some[i][2]
+        for i, tags in zip(order[k:j], decode(part, trans)):
+            out[i] = tags[: len(some[i][2])]
         k = j
+    return out
+
+
+def tag(w: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
+    """Tags (windows, characters) of the windows x."""
+    some, tags = opened(w, x), np.zeros(x.shape, np.int8)
+    for (r, a, _), got in zip(some, search(some, w["trans"])):
+        tags[r, a : a + len(got)] = got
     return tags
 
 
