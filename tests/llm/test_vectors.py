@@ -54,6 +54,18 @@ def test_many_cells_keep_recall(spark, cell):
     assert len(got & want) >= 0.9 * len(want)
 
 
+@pytest.mark.parametrize("cell", [4096, 100])
+def test_near_copies_that_codes_cannot_order(spark, cell):
+    rng = np.random.default_rng(3)
+    dim = 96
+    jitter = neighbours.unit(rng.standard_normal((300, dim)))
+    x = np.concatenate([0.95 * np.eye(dim)[0] + 0.31 * jitter, rng.standard_normal((600, dim))])
+    want = truth(x, 10, 0.8)
+    got = {(r["id"], r["neighbour_id"]) for r in neighbours.neighbours(table(spark, x), 10, 0.8, dim=dim, max_cell=cell, words=16).collect()}
+    assert len(want) == 3000
+    assert len(got & want) >= (1 if cell > len(x) else 0.99) * len(want)
+
+
 def test_few_rows(spark):
     assert neighbours.neighbours(table(spark, np.zeros((0, DIM)), BAD), 3, dim=DIM).isEmpty()
     one = np.ones((1, DIM))

@@ -6,9 +6,11 @@ code. The codebooks are fitted on a bounded sample (`SAMPLE` rows, taken by hash
 
 The leading codewords make a tree of cells, whose root holds everything: a cell that more than `max_cell` vectors share is split by the next
 codeword, so cells keep their size while the table grows; a cell that the deepest level cannot split is cut into
-blocks, and its queries visit every block. Every vector is a query of its own cell and of the further cells that
+blocks, and its queries visit every block. Rows of a split cell that lie close around its centre are no longer told
+apart by further codewords: they stay together, in blocks, and all queries that come through the cell visit them. Every vector is a query of its own cell and of the further cells that
 its beam ends in. In a cell, a table of the query's products with all codewords is made, the sums of looked-up
-products over the stored norm give approximate cosines, and the best of these are ranked by exact cosines.
+products over the stored norm give approximate cosines; the best of these are compared exactly, then every other row
+of the cell whose approximate cosine and quantisation error together can reach the k-th of them.
 
 Exact copies of a vector are collapsed before anything moves: a partition sends one of them on, a cell keeps one,
 and the first k + 1 ids of each group stand for it in the results, which is all that a list of k can need.
@@ -36,6 +38,8 @@ ROOT = 1
 #: Rows that the codebooks are fitted on, at most.
 SAMPLE = 8192
 MAX_CELL = 4096
+#: Rows of a split cell with this cosine to its words' sum are alike, so the next words cannot tell them apart; more than `LEAST_CORE` stay together.
+CORE, LEAST_CORE = 0.87, 64
 
 
 def usable(df: DataFrame, id_col: str, vec_col: str, dim: int = DIM) -> DataFrame:
@@ -128,6 +132,31 @@ def _greedy(x: np.ndarray, books: np.ndarray) -> np.ndarray:
     return np.stack(out, axis=1)
 
 
+def _merged(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, middle) of the first codewords: the first one that each is alike to, and the sum of those that share it.
+
+    A group of near copies that is a large part of the table gets many codewords, which must not divide it.
+    """
+    u = words / (np.linalg.norm(words, axis=1, keepdims=True) + 1e-9)
+    first = np.arange(len(words))
+    for i in range(len(words)):
+        if first[i] == i:
+            first[i:] = np.where((first[i:] == np.arange(i, len(words))) & (u[i:] @ u[i] >= CORE), i, first[i:])
+    middle = np.zeros_like(words)
+    np.add.at(middle, first, words)
+    return first, middle
+
+
+def _core(x: np.ndarray, home: np.ndarray, books: np.ndarray, first: np.ndarray, middle: np.ndarray) -> np.ndarray:
+    """A number for each row whose bit d is set if the row is alike to the sum of the first d + 1 words of its address."""
+    sums, bits = np.zeros_like(x), np.zeros(len(x), np.int32)
+    for d in range(home.shape[1]):
+        sums += books[d][home[:, d]]
+        c = sums if d else middle[first[home[:, 0]]]
+        bits |= (np.einsum("nd,nd->n", x, c) >= CORE * np.linalg.norm(c, axis=1)).astype(np.int32) << d
+    return bits
+
+
 def _address(path: np.ndarray) -> np.ndarray:
     """A number for each code prefix, different for prefixes of different length."""
     a = np.ones(path.shape[:-1], np.int64)
@@ -137,6 +166,8 @@ def _address(path: np.ndarray) -> np.ndarray:
 
 
 def _encoder(books: np.ndarray, dim: int):
+    first, middle = _merged(books[0])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for b in batches:
@@ -153,6 +184,9 @@ def _encoder(books: np.ndarray, dim: int):
                 x = unit(raw[new]) if new.any() else np.zeros((0, dim), np.float32)
                 code, scale, paths = encode(x, books) if len(x) else (np.zeros((0, len(books)), np.uint8), np.zeros(0, np.float32), [])
                 home = _greedy(x, books)
+                core = _core(x, home, books, first, middle)
+                for p in (home, *paths):
+                    p[..., 0] = first[p[..., 0]]
                 at = iter(range(len(x)))
                 full = [next(at) if n else None for n in new]
                 pick = pa.array(full, pa.int32())
@@ -162,6 +196,7 @@ def _encoder(books: np.ndarray, dim: int):
                         "id": ids, "h": pa.array(h, pa.binary()), "v": pa.array([r if n else None for r, n in zip(data, new)], pa.binary()),
                         "code": pa.array([r.tobytes() for r in code], pa.binary()).take(pick), "scale": pa.array(scale).take(pick),
                         **{f"home{d + 1}": pa.array(_address(home[:, : d + 1])).take(pick) for d in range(DEPTH)},
+                        "core": pa.array(core).take(pick),
                         "beam": pa.array([r.tobytes() for r in np.concatenate(beams, axis=1)] if len(x) else [], pa.binary()).take(pick),
                     }
                 )
@@ -169,23 +204,29 @@ def _encoder(books: np.ndarray, dim: int):
     return run
 
 
-_ENCODED = "id string, h binary, v binary, code binary, scale float, home1 long, home2 long, home3 long, home4 long, beam binary"
+_ENCODED = "id string, h binary, v binary, code binary, scale float, home1 long, home2 long, home3 long, home4 long, core int, beam binary"
 _ROUTED = "cell long, block int, asks boolean, h binary, v binary, code binary, scale float"
 
 
-def _router(split: dict[int, int], blocks: dict[int, int], probes: tuple[int, ...]):
-    """Sends each vector to its own cell, and as a query to the other cells of its beam. split: the cells that the next level divides."""
+def _router(split: dict[int, int], cores: set[int], blocks: dict[int, int], probes: tuple[int, ...]):
+    """Sends each vector to its own cell, and as a query to the other cells of its beam.
+
+    split: the cells that the next level divides; cores: those of them whose alike rows stay together, as cell -a.
+    """
 
     def leaf_of(homes: tuple[int, ...]) -> int:
         return next((a for a in (ROOT, *homes) if a not in split), homes[-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            core = b.column("core").to_pylist()
             homes = list(zip(*(b.column(f"home{d + 1}").to_pylist() for d in range(DEPTH))))
             take, cell, block, asks = [], [], [], []
             for i, (hs, beam, h) in enumerate(zip(homes, b.column("beam").to_pylist(), b.column("h").to_pylist())):
-                own = leaf_of(hs)
-                visits = {own: None}
+                leaf = leaf_of(hs)
+                through = [d for d, p in enumerate(hs) if p in cores and p != leaf]
+                own = next((-hs[d] for d in through if core[i] >> d & 1), leaf)
+                visits = {own: None, leaf: None} | dict.fromkeys(-hs[d] for d in through)
                 a = np.frombuffer(beam, np.int64)
                 at = 0
                 for d in range(DEPTH):
@@ -193,6 +234,8 @@ def _router(split: dict[int, int], blocks: dict[int, int], probes: tuple[int, ..
                     for p in a[at : at + width].tolist():
                         if p >> 8 in split and p not in split:
                             visits[p] = None
+                        elif p in cores:
+                            visits[-p] = None
                     at += min(BEAM, len(a) - at)
                 mine = int.from_bytes(h[:4], "little") % blocks.get(own, 1)
                 for c in visits:
@@ -207,30 +250,81 @@ def _router(split: dict[int, int], blocks: dict[int, int], probes: tuple[int, ..
     return run
 
 
-def rank(q: np.ndarray, x: np.ndarray, x32: np.ndarray, lut: np.ndarray, code: np.ndarray, scale: np.ndarray, same: np.ndarray, k: int, least: float, shortlist: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, row, cosine) of the k best rows for each query among the `shortlist` that the codes rank first. q, x: unit vectors in float64; same: each query's own row or -1."""
+def slack(x: np.ndarray, books: np.ndarray, code: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """(2, rows): cosine and sine of the angle between each unit vector and the sum of its code's words."""
+    near = np.zeros_like(x)
+    for m in range(len(books)):
+        near += books[m][code[:, m]]
+    c = np.clip(np.einsum("nd,nd->n", x, near) * scale, -1, 1)
+    return np.stack([c, np.sqrt(1 - c * c)]).astype(np.float32)
+
+
+def _kth(near: np.ndarray, k: int) -> np.ndarray:
+    n = near.shape[1]
+    return np.partition(near, n - min(k, n), axis=1)[:, n - min(k, n)] if n else np.zeros(len(near), np.float32)
+
+
+def rank(q: np.ndarray, x: np.ndarray, x32: np.ndarray, lut: np.ndarray, code: np.ndarray, scale: np.ndarray, off: np.ndarray, same: np.ndarray, k: int, least: float, shortlist: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, cosine) of the k best rows for each query, and of those as good as the last.
+
+    The `shortlist` that the codes rank first are compared exactly; then every row is that can still reach the k-th
+    of them and `least`: a query's angle to a row is no less than its angle to the row's code less that of code and
+    row. q, x: unit vectors in float64; off: the latter angles (see `slack`); same: each query's own row or -1.
+    """
     words = lut.shape[1] // code.shape[1]
     s = np.take(lut[:, :words], code[:, 0], axis=1)
     for m in range(1, code.shape[1]):
         s += np.take(lut[:, m * words : (m + 1) * words], code[:, m], axis=1)
     s *= scale
+    n, q32 = s.shape[1], q.astype(np.float32)
     own = np.flatnonzero(same >= 0)
     s[own, same[own]] = -np.inf
-    r = min(shortlist, s.shape[1])
-    c = np.argpartition(-s, r - 1, axis=1)[:, :r] if r < s.shape[1] else np.broadcast_to(np.arange(r), s.shape)
-    near, q32 = np.empty(c.shape, np.float32), q.astype(np.float32)
+    r = min(shortlist, n)
+    c = np.argpartition(-s, r - 1, axis=1)[:, :r] if r < n else np.broadcast_to(np.arange(r), s.shape)
+    near = np.empty(c.shape, np.float32)
     for lo in range(0, len(q), 64):
-        if 6 * r > s.shape[1]:  # one product with all rows is cheaper than as many gathered ones
+        if 6 * r > n:  # one product with all rows is cheaper than as many gathered ones
             near[lo : lo + 64] = np.take_along_axis(q32[lo : lo + 64] @ x32.T, c[lo : lo + 64], 1)
             continue
         near[lo : lo + 64] = np.matmul(x32[c[lo : lo + 64]], q32[lo : lo + 64, :, None])[:, :, 0]
     near[c == same[:, None]] = -np.inf
-    last = np.partition(near, r - min(k, r), axis=1)[:, r - min(k, r)] if r else np.zeros(len(q))
+    last = _kth(near, k)
+    more = []
+    if r < n:
+        s[own, same[own]] = 0
+        np.clip(s, -1, 1, out=s)
+        reach = s * off[0]
+        reach += np.sqrt(1 - s * s) * off[1]
+        open_ = reach >= (np.maximum(last, least) - 1e-4)[:, None]
+        np.put_along_axis(open_, c, False, 1)
+        open_[own, same[own]] = False
+        todo = np.flatnonzero(open_.any(axis=1))
+        for lo in range(0, len(todo), 64):
+            t = todo[lo : lo + 64]
+            i, j = np.nonzero(open_[t])
+            if 20 * len(i) > len(t) * n:
+                e = (q32[t] @ x32.T)[i, j]
+            else:
+                e = np.einsum("nd,nd->n", q32[t[i]], x32[j])
+            at = e >= np.maximum(last[t[i]], least) - 4e-6
+            i, j, e = i[at], j[at], e[at]
+            if not len(i):
+                continue
+            # the k-th of the shortlist and the rows that reach it together
+            rows, first, count = np.unique(i, return_index=True, return_counts=True)
+            both = np.full((len(rows), k + count.max()), -np.inf, np.float32)
+            both[:, : min(k, r)] = -np.partition(-near[t[rows]], min(k, r) - 1, axis=1)[:, : min(k, r)]
+            both[np.repeat(np.arange(len(rows)), count), k + np.arange(len(i)) - np.repeat(first, count)] = e
+            last[t[rows]] = _kth(both, k)
+            more.append((t[i], j, e))
+    i, j = np.nonzero(np.isfinite(near))
+    i, j, near = (np.concatenate(p) for p in zip((i, c[i, j], near[i, j]), *more))
     # single precision tells the k best but for rounding; the rest is told apart by double precision and, at equal cosines, by id
-    i, j = np.nonzero((near >= last[:, None] - 4e-6) & (near >= least - 4e-6) & np.isfinite(near))
-    exact = np.round(np.einsum("nd,nd->n", q[i], x[c[i, j]]), 6)
+    keep = (near >= last[i] - 4e-6) & (near >= least - 4e-6)
+    i, j = i[keep], j[keep]
+    exact = np.round(np.einsum("nd,nd->n", q[i], x[j]), 6)
     keep = exact >= least
-    return i[keep], c[i, j][keep], exact[keep]
+    return i[keep], j[keep], exact[keep]
 
 
 def _searcher(books: np.ndarray, dim: int, k: int, least: float, shortlist: int):
@@ -245,12 +339,13 @@ def _searcher(books: np.ndarray, dim: int, k: int, least: float, shortlist: int)
             v, code, scale = (np.concatenate([p[i] for p in held])[first] for i in (1, 2, 3))
             x = v.astype(np.float64)
             x /= np.linalg.norm(x, axis=1, keepdims=True)
-            return h[first], x, code, scale, x.astype(np.float32)
+            x32 = x.astype(np.float32)
+            return h[first], x, code, scale, x32, slack(x32, books, code, scale)
 
         def ask(h: np.ndarray, q: np.ndarray, same: np.ndarray) -> Iterator[pa.RecordBatch]:
             for lo in range(0, len(q), 512):
                 part = q[lo : lo + 512]
-                i, j, e = rank(part, index[1], index[4], part.astype(np.float32) @ flat.T, index[2], index[3], same[lo : lo + 512], k, least, shortlist)
+                i, j, e = rank(part, index[1], index[4], part.astype(np.float32) @ flat.T, index[2], index[3], index[5], same[lo : lo + 512], k, least, shortlist)
                 if len(i):
                     yield pa.RecordBatch.from_pydict({"qh": pa.array(h[lo : lo + 512][i].tolist(), pa.binary()), "xh": pa.array(index[0][j].tolist(), pa.binary()), "similarity": pa.array(e)})
 
@@ -291,8 +386,8 @@ def neighbours(
     """(id, neighbour_id, similarity): the k most similar other vectors of every vector, those of min_similarity or more.
 
     probes: entries of the beam that a query visits at each depth of the cell tree, `BEAM` at most. shortlist: rows
-    of a cell that are reranked for a query, 4 k by default, which is enough for neighbours that stand out; where
-    many rows are about equally far, codes cannot rank them and the shortlist must be longer.
+    of a cell that are compared exactly at first, 4 k by default; it bears on the time, not on the result, as all
+    others that can be among the k best follow.
     """
     rows = usable(df, id_col, vec_col, dim)
     train = bounded_sample(rows, sample, df.count())
@@ -303,12 +398,15 @@ def neighbours(
     coded = cut(rows.mapInArrow(_encoder(books, dim), _ENCODED))
     vectors = coded.filter("v is not null")
     # one number for each cell that holds more than max_cell vectors, so at most DEPTH * rows / max_cell of them
-    over = vectors.select(F.explode(F.array(F.lit(ROOT).cast("long"), *(f"home{d + 1}" for d in range(DEPTH)))).alias("cell")).groupBy("cell").count().filter(F.col("count") > max_cell).collect()
-    split = {r["cell"]: r["count"] for r in over}
+    homes = F.array(F.struct(F.lit(ROOT).cast("long").alias("cell"), F.lit(0).alias("core")), *(F.struct(F.col(f"home{d + 1}").alias("cell"), F.shiftright("core", d).bitwiseAND(1).alias("core")) for d in range(DEPTH)))
+    over = vectors.select(F.inline(homes)).groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.sum("core").alias("core")).filter(F.col("n") > max_cell).collect()
+    split = {r["cell"]: r["n"] for r in over}
     deepest = 1 << 8 * DEPTH
     blocks = {c: -(-n // max_cell) for c, n in split.items() if c >= deepest}
     split = {c: n for c, n in split.items() if c < deepest}
-    routed = vectors.mapInArrow(_router(split, blocks, probes), _ROUTED).repartition("cell", "block").sortWithinPartitions("cell", "block", "asks")
+    cores = {r["cell"]: r["core"] for r in over if r["cell"] in split and r["core"] > LEAST_CORE}
+    blocks |= {-c: -(-n // max_cell) for c, n in cores.items()}
+    routed = vectors.mapInArrow(_router(split, set(cores), blocks, probes), _ROUTED).repartition("cell", "block").sortWithinPartitions("cell", "block", "asks")
     found = routed.mapInArrow(_searcher(books, dim, k, least, shortlist or 4 * k), "qh binary, xh binary, similarity double").distinct()
     return expand(coded.select("id", "h"), found, k)
 
