@@ -80,6 +80,26 @@ def test_leaks(spark):
     assert evalleak.leaks(df.limit(0), its).isEmpty() and evalleak.leaks(df, its.limit(0)).isEmpty()
 
 
+def test_leaks_of_repeated_and_short_items(spark):
+    r = random.Random(6)
+    clause = " ".join(r.sample(VOCAB, 30))
+    base = [prose(r, 80) for _ in range(3)]
+    near = [f"{base[1]} {prose(r, 3)}" for _ in range(4)]
+    with_clause = [f"{prose(r, 20)} {clause} {prose(r, 20)}" for _ in range(4)]
+    items = [base[0]] * 3 + near + with_clause + ["quorvex", "zembly wattock", "ulmic fennard oskel brintoy vask"]
+    its = spark.createDataFrame([(i, "s", "en", t) for i, t in enumerate(items)], "item_id long, suite string, lang string, text string")
+    texts = [prose(r, 150) for _ in range(60)] + [f"{prose(r, 60)} {clause} {prose(r, 60)}" for _ in range(40)]
+    texts[1] = f"{prose(r, 60)} {items[0]} {prose(r, 60)}"  # three items with this text
+    texts[2] = f"{prose(r, 60)} {near[0]} {prose(r, 60)}"  # four items that differ in their last words only
+    texts[3] = f"{prose(r, 60)} {with_clause[2]} {prose(r, 60)}"
+    texts[4] = f"{prose(r, 60)} Quorvex {prose(r, 60)}"
+    texts[5] = f"{prose(r, 60)} zembly, wattock {prose(r, 60)}"
+    texts[6] = f"{prose(r, 60)} wattock zembly {prose(r, 60)}"
+    texts[7] = f"{prose(r, 60)} {items[-1]} {prose(r, 60)}"
+    got = {(x["doc_id"], x["item_id"]) for x in evalleak.leaks(docs(spark, texts), its).collect()}
+    assert got == {(1, 0), (1, 1), (1, 2), (2, 3), (2, 4), (2, 5), (2, 6), (3, 9), (4, 11), (5, 12), (7, 13)}
+
+
 def test_common_order():
     r = random.Random(0)
     for _ in range(50):

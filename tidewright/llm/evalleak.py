@@ -8,10 +8,12 @@ by hash of the id; every passage of every document is then mapped into the white
 with the passages of all items, which are a given, small set. A document and an item with a cosine of
 `MIN_COSINE` somewhere are candidates. A candidate is checked on words: the best window of the document, a little
 longer than the item, must hold `MIN_ORDER` of the item's words in the item's order (longest common subsequence),
-and `MIN_RUNS` of the item's runs of three words, those that several items share (standard clauses) not counted.
+and `MIN_RUNS` of the item's runs of three words, those of standard clauses not counted. A run is a clause's if more
+than two different items share it and twice as many documents have it as leaks of these items account for; an item
+that is nearly all clauses is checked on order alone. Equal items are one item until the pairs are listed.
 
 Defined results. Null and blank texts, of documents or items, are in no pair. Items under `SHORTEST` words are
-searched for as a whole. Copies of a document are all listed; repeated ids are listed once for each item. Very
+searched for as a whole: they are candidates by their runs too, and those of one or two words must stand as they are. Copies of a document are all listed; repeated ids are listed once for each item. Very
 long documents are searched whole. Empty tables: no rows. Extra columns are not read.
 """
 
@@ -83,16 +85,41 @@ def passages(weights: np.ndarray, words: np.ndarray) -> np.ndarray:
     return p / (np.linalg.norm(p, axis=1, keepdims=True) + 1e-9)
 
 
-def _df(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    read, n, docs = Reader(), np.zeros(BUCKETS, np.int64), 0
-    for b in batches:
-        for t in b.column(0).to_pylist():
-            w = read(t)
-            if len(w):
-                n[np.unique(w & (BUCKETS - 1))] += 1
-                docs += 1
-    hit = np.flatnonzero(n)
-    yield pa.RecordBatch.from_pydict({"bucket": np.append(hit, -1), "n": np.append(n[hit], docs)})
+def _df(shared):
+    """Documents that have each bucket's words, all documents at -1, and those that have run i at -2 - i."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs = shared.value
+        read, n, docs, have = Reader(), np.zeros(BUCKETS, np.int64), 0, np.zeros(len(runs), np.int64)
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                w = read(t)
+                if len(w):
+                    n[np.unique(w & (BUCKETS - 1))] += 1
+                    docs += 1
+                    if len(runs):
+                        r = np.unique(_runs(w))
+                        at = np.minimum(np.searchsorted(runs, r), len(runs) - 1)
+                        have[at[runs[at] == r]] += 1
+        hit, seen = np.flatnonzero(n), np.flatnonzero(have)
+        yield pa.RecordBatch.from_pydict({"bucket": np.concatenate([hit, [-1], -2 - seen]), "n": np.concatenate([n[hit], [docs], have[seen]])})
+
+    return run
+
+
+def frequencies(docs: DataFrame, runs: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """(documents, those that have each bucket, those that have each of the sorted runs). docs: (doc_id, text)."""
+    shared = docs.sparkSession.sparkContext.broadcast(runs)
+    got = docs.select("text").mapInArrow(_df(shared), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()  # one number for each bucket and run of the items
+    df, have, n_docs = np.zeros(BUCKETS), np.zeros(len(runs), np.int64), 0
+    for b, n in got:
+        if b >= 0:
+            df[b] = n
+        elif b == -1:
+            n_docs = n
+        else:
+            have[-2 - b] = n
+    return n_docs, df, have
 
 
 def _triples(read: Reader, texts: list, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
@@ -151,17 +178,9 @@ def _sum(key: tuple, t: pa.Table) -> pa.Table:
     return pa.table({"chunk": [key[0].as_py()], "s": pa.array([s.tobytes()], pa.binary())})
 
 
-def fit(docs: DataFrame, seed: int = 11) -> np.ndarray:
-    """Weights (BUCKETS, RANK): what a word adds to the whitened latent vector of its passage. docs: (doc_id, text)."""
+def fit(docs: DataFrame, n_docs: int, df: np.ndarray, seed: int = 11) -> np.ndarray:
+    """Weights (BUCKETS, RANK): what a word adds to the whitened latent vector of its passage. docs: (doc_id, text); n_docs, df: see `frequencies`."""
     spark = docs.sparkSession
-    counts = docs.select("text").mapInArrow(_df, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()  # one number for each bucket
-    df = np.zeros(BUCKETS)
-    n_docs = 0
-    for b, n in counts:
-        if b < 0:
-            n_docs = n
-        else:
-            df[b] = n
     if not n_docs:
         return np.zeros((BUCKETS, RANK), np.float32)
     idf = np.log((n_docs + 1) / (df + 1)).astype(np.float32)
@@ -192,6 +211,12 @@ def _runs(w: np.ndarray) -> np.ndarray:
     return ((w[:-2] * m + w[1:-1]) * m + w[2:]) * m if len(w) > 2 else np.zeros(0, np.uint64)
 
 
+def _grams(w: np.ndarray, n: int) -> np.ndarray:
+    """A number for each run of one or two words."""
+    w = w.astype(np.uint64)
+    return w if n == 1 else w[:-1] << np.uint64(32) | w[1:]
+
+
 def common_order(a: list[int], b: list[int]) -> int:
     """Length of the longest common subsequence, by bit-parallel addition."""
     at: dict[int, int] = {}
@@ -211,20 +236,42 @@ class Items:
 
     def __init__(self, rows: list[tuple[int, str]]) -> None:
         read = Reader()
-        self.ids, self.words = [], []
+        self.ids, self.words, at = [], [], {}  # ids: of the items with these words
         for i, t in rows:
             w = read(t)
             if len(w):
-                self.ids.append(i)
-                self.words.append(w)
+                k = at.setdefault(w.tobytes(), len(self.words))
+                if k == len(self.words):
+                    self.ids.append([])
+                    self.words.append(w)
+                self.ids[k].append(i)
+        self.short = np.array([len(w) < SHORTEST for w in self.words], bool)
+        self.tiny = {n: [k for k, w in enumerate(self.words) if len(w) == n] for n in (1, 2)}
+        self.tiny_keys = {n: _grams(np.concatenate([self.words[k] for k in ks]), n)[::n] for n, ks in self.tiny.items() if ks}
         runs = [np.unique(_runs(w)) for w in self.words]
         flat = np.concatenate([*runs, np.zeros(0, np.uint64)])
         own = np.repeat(np.arange(len(runs)), [len(r) for r in runs])
-        _, back, n = np.unique(flat, return_inverse=True, return_counts=True)
-        keep = n[back] <= 2  # a run that more items share belongs to a standard clause
-        o = np.argsort(flat[keep], kind="stable")
-        self.run, self.of = flat[keep][o], own[keep][o]
-        self.n_runs = np.maximum([len(r) for r in runs], 1)
+        o = np.argsort(flat, kind="stable")
+        self.run, self.of = flat[o], own[o]
+        self.distinct, self.back = np.unique(self.run, return_inverse=True)
+        self.ignore_clauses(np.zeros(len(self.distinct), np.int64))
+
+    def ignore_clauses(self, have: np.ndarray) -> None:
+        """Leaves out the runs of standard clauses. have: documents that have each of the distinct runs."""
+        n = np.bincount(self.back, minlength=len(self.distinct))
+        every = np.bincount(self.of, minlength=len(self.words))
+        leaked = np.zeros(len(self.words))  # documents that have the usual run of an item
+        o = np.argsort(self.of, kind="stable")
+        for k, at in enumerate(np.split(self.back[o], np.cumsum(every)[:-1]) if len(every) else []):
+            rare = at[n[at] <= 2]
+            leaked[k] = np.median(have[rare if len(rare) else at]) if len(at) else 0
+        due = np.bincount(self.back, leaked[self.of] + 1, minlength=len(self.distinct))
+        keep = ~((n > 2) & (have > 2 * due))[self.back]
+        self.run, self.of = self.run[keep], self.of[keep]
+        self.distinct, self.back = np.unique(self.run, return_inverse=True)
+        kept = np.bincount(self.of, minlength=len(self.words))
+        self.n_runs = np.maximum(kept, 1)
+        self.bare = kept < np.maximum(MIN_RUNS * every, 1)
 
     def queries(self, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The passages of all items at every `STEP / 2` words, and the item of each."""
@@ -237,12 +284,26 @@ class Items:
         return np.concatenate(q).astype(np.float32), np.array(of, np.int64)
 
     def shared_runs(self, words: np.ndarray) -> np.ndarray:
-        """Share of each item's runs that the text has."""
+        """Share of each item's runs that the text has, without those of clauses."""
         r = np.unique(_runs(words))
         lo, hi = np.searchsorted(self.run, r, "left"), np.searchsorted(self.run, r, "right")
-        hit = np.concatenate([lo[hi > lo], lo[hi > lo + 1] + 1]).astype(np.int64)
+        lo, n = lo[hi > lo], (hi - lo)[hi > lo]
+        hit = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
         return np.bincount(self.of[hit], minlength=len(self.ids)) / self.n_runs
 
+    def stands(self, words: np.ndarray) -> np.ndarray:
+        """The items of one or two words that the text has as they are."""
+        found = [np.array(self.tiny[n])[np.isin(keys, _grams(words, n))] for n, keys in self.tiny_keys.items()]
+        return np.concatenate([np.zeros(0, np.int64), *found])
+
+    def candidates(self, cosines: np.ndarray, runs: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """The items to check on words."""
+        enough = runs >= MIN_RUNS
+        near = np.flatnonzero((cosines >= MIN_COSINE) & (enough | self.bare) | self.short & enough)
+        if not self.tiny_keys:
+            return near
+        return np.union1d(near[[len(self.words[k]) > 2 for k in near.tolist()]] if len(near) else near, self.stands(words))
+
     def order(self, k: int, words: np.ndarray) -> tuple[float, int]:
         """Share of item k's words that the best window of the text has in order, and where the window starts."""
         a = self.words[k]
@@ -278,14 +339,13 @@ def _search(shared):
                     if m:
                         cos = best[at : at + m].max(axis=0)
                         at += m
-                        near = np.flatnonzero(cos >= MIN_COSINE)
-                        if not len(near):
+                        if cos.max() < MIN_COSINE and not items.short.any():
                             continue
                         runs = items.shared_runs(w)
-                        for k in near[runs[near] >= MIN_RUNS].tolist():
+                        for k in items.candidates(cos, runs, w).tolist():
                             share, where = items.order(k, w)
                             if share >= MIN_ORDER:
-                                out.append((i, items.ids[k], float(cos[k]), float(runs[k]), share, where))
+                                out += [(i, one, float(cos[k]), float(runs[k]), share, where) for one in items.ids[k]]
             cols = list(zip(*out)) or [()] * 6
             types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["doc_id", "item_id", "cosine", "runs", "in_order", "first_word"])
@@ -300,7 +360,9 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("text").rlike(r"\S"))
     held = Items([tuple(r) for r in items.select(F.col("item_id").cast("long"), "text").filter("text is not null").orderBy("item_id").collect()])
-    shared = docs.sparkSession.sparkContext.broadcast((fit(docs), held))
+    n_docs, df, have = frequencies(docs, held.distinct)
+    held.ignore_clauses(have)
+    shared = docs.sparkSession.sparkContext.broadcast((fit(docs, n_docs, df), held))
     return docs.mapInArrow(_search(shared), "doc_id long, item_id long, cosine double, runs double, in_order double, first_word long")
 
 
