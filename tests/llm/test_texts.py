@@ -100,6 +100,20 @@ def test_leaks_of_repeated_and_short_items(spark):
     assert got == {(1, 0), (1, 1), (1, 2), (2, 3), (2, 4), (2, 5), (2, 6), (3, 9), (4, 11), (5, 12), (7, 13)}
 
 
+def test_best_window_of_all():
+    r = random.Random(8)
+    ws = r.sample(VOCAB, 60)
+    items = evalleak.Items([(7, " ".join(ws))])
+    read = evalleak.Reader()
+    full = ws[::-1] * 2  # holds every word, in another order
+    leak = ws[:30]
+    text = read(" ".join(["zz"] * 40 + full + ["zz"] * 200 + leak + ["zz"] * 70))
+    size = int(1.3 * 60) + evalleak.STEP
+    want = max(evalleak.common_order(items.words[0].tolist(), text[lo : lo + size].tolist()) for lo in range(len(text) - size + 1)) / 60
+    share, where = items.order(0, text)
+    assert share == want == 0.5 and where <= 40 + 120 + 200 <= where + size - 30
+
+
 def test_common_order():
     r = random.Random(0)
     for _ in range(50):

@@ -6,7 +6,7 @@ frequencies are counted over the whole corpus. A randomised SVD of the passages'
 distributed multiplications by the matrix and its transpose over a sample of `FIT_DOCS` documents at most, taken
 by hash of the id; every passage of every document is then mapped into the whitened latent space and compared
 with the passages of all items, which are a given, small set. A document and an item with a cosine of
-`MIN_COSINE` somewhere are candidates. A candidate is checked on words: the best window of the document, a little
+`MIN_COSINE` somewhere are candidates. A candidate is checked on words: the best of all windows of the document, a little
 longer than the item, must hold `MIN_ORDER` of the item's words in the item's order (longest common subsequence),
 and `MIN_RUNS` of the item's runs of three words, those of standard clauses not counted. A run is a clause's if more
 than two different items share it and twice as many documents have it as leaks of these items account for; an item
@@ -271,6 +271,7 @@ class Items:
         self.distinct, self.back = np.unique(self.run, return_inverse=True)
         kept = np.bincount(self.of, minlength=len(self.words))
         self.n_runs = np.maximum(kept, 1)
+        self.kept = np.split(self.run[np.argsort(self.of, kind="stable")], np.cumsum(kept)[:-1]) if len(kept) else []
         self.bare = kept < np.maximum(MIN_RUNS * every, 1)
 
     def queries(self, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -305,14 +306,30 @@ class Items:
         return np.union1d(near[[len(self.words[k]) > 2 for k in near.tolist()]] if len(near) else near, self.stands(words))
 
     def order(self, k: int, words: np.ndarray) -> tuple[float, int]:
-        """Share of item k's words that the best window of the text has in order, and where the window starts."""
+        """Share of item k's words that the best window of the text has in order, and where the window starts.
+
+        Of shares under `MIN_ORDER`, not always the best. A window must hold `MIN_RUNS` of the item's runs itself: in a
+        long text, turns of phrase from all over it would do otherwise. A window's words that the item has bound what it has in
+        order, and a window n words on has at most n more: windows that neither bound rules out are aligned.
+        """
         a = self.words[k]
         size = int(1.3 * len(a)) + STEP
-        lo = 0
-        if len(words) > size:
-            sums = np.concatenate([[0], np.cumsum(np.isin(words, a))])
-            lo = int(np.argmax(sums[size:] - sums[:-size]))
-        return common_order(a.tolist(), words[lo : lo + size].tolist()) / len(a), lo
+        if len(words) <= size:
+            return common_order(a.tolist(), words.tolist()) / len(a), 0
+        sums = np.concatenate([[0], np.cumsum(np.isin(words, a))])
+        bound = np.minimum(sums[size:] - sums[:-size], len(a))
+        at, item, text = np.arange(len(bound)), a.tolist(), words.tolist()
+        best, where = 0, 0
+        while True:
+            lo = int(np.argmax(bound))
+            if bound[lo] <= best or bound[lo] < MIN_ORDER * len(a):
+                return best / len(a), where
+            n = common_order(item, text[lo : lo + size])
+            bound = np.minimum(bound, n + np.abs(at - lo))
+            if n > best and (self.bare[k] or np.isin(self.kept[k], _runs(words[lo : lo + size])).mean() >= MIN_RUNS):
+                best, where = n, lo
+            else:
+                bound[lo] = min(n, best)
 
 
 def _search(shared):
