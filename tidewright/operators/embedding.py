@@ -16,16 +16,21 @@ from ..functions.vectors import l2_normalise
 Embedder = Callable[[list[str]], np.ndarray]
 
 
+def bucket(word: Column, dim: int) -> Column:
+    """A number under 2 * dim from the first 32 bits of the word's MD5, which any engine can compute; even ones add, odd ones subtract."""
+    return F.pmod(F.conv(F.substring(F.md5(word), 1, 8), 16, 10).cast("long"), F.lit(2 * dim))
+
+
 def hashed(text: Column, dim: int = 384) -> Column:
     """Deterministic hashed bag of words at length 1; texts without words are all zeros."""
-    h = F.transform(words(F.coalesce(text, F.lit(""))), lambda w: F.pmod(F.xxhash64(w), F.lit(2 * dim)))
+    h = F.transform(words(F.coalesce(text, F.lit(""))), lambda w: bucket(w, dim))
     counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: (F.size(F.filter(h, lambda x: x == d * 2)) - F.size(F.filter(h, lambda x: x == d * 2 + 1))).cast("double"))
     return l2_normalise(counts)
 
 
 def embed_hashed(df: DataFrame, text: Column, dim: int = 384) -> DataFrame:
     """Adds `embedding` by the hashed embedder, in Arrow batches: one pass over a text's words, whatever the dimension."""
-    hashes = F.transform(words(F.coalesce(text, F.lit(""))), lambda w: F.pmod(F.xxhash64(w), F.lit(2 * dim)).cast("int"))
+    hashes = F.transform(words(F.coalesce(text, F.lit(""))), lambda w: bucket(w, dim).cast("int"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

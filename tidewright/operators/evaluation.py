@@ -51,12 +51,28 @@ def label_set(c: Column) -> Column:
 
 def csv_samples(spark: SparkSession, path: str) -> DataFrame:
     """(cargo, commodity, expected) of a CSV file with the header cargo, commodity, expected_labels; ValueError when it has no rows."""
-    rows = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=True, encoding="UTF-8", schema="cargo string, commodity string, expected_labels string", enforceSchema=False)
+    rows = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=True, encoding="UTF-8", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, schema="cargo string, commodity string, expected_labels string", enforceSchema=False)
     if rows.isEmpty():
         raise ValueError(f"no samples in {path}")
     return rows.select(F.coalesce("cargo", F.lit("")).alias("cargo"), F.coalesce("commodity", F.lit("")).alias("commodity"), label_set(F.coalesce("expected_labels", F.lit(""))).alias("expected"))
 
 
+def write_csv(samples: DataFrame, path: str) -> None:
+    """Samples (cargo, commodity, expected) as the CSV files that csv_samples reads."""
+    rows = samples.select("cargo", "commodity", F.array_join("expected", ",").alias("expected_labels"))
+    rows.write.csv(path, header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+
+
+def confirmed(samples: DataFrame, threshold: float, floor: float) -> DataFrame:
+    """The figures of the held-out samples at the one threshold that was chosen before."""
+    return sweep(predictions(samples, (threshold,), floor))
+
+
+def report_lines(swept: DataFrame) -> DataFrame:
+    """(threshold, line): the sweep as lines of text."""
+    return swept.select("threshold", F.format_string("%10.2f  %10.4f  %8.4f  %8.4f  %5d  %5d  %5d  %5d", "threshold", "precision", "recall", "f1", "tp", "fp", "fn", "n_samples").alias("line"))
+
+
 def predictions(samples: DataFrame, thresholds: tuple[float, ...], floor: float) -> DataFrame:
     """(sample, expected, threshold, predicted) from samples (sample, expected, scores: array<struct<name, score>>).
 

@@ -74,19 +74,48 @@ def with_semantic(df: DataFrame, model: Model, vec_col: str, dim: int = 384) ->
     return df.select(*columns, v.alias("_v")).mapInArrow(score, schema)
 
 
-def found_keywords(texts: list[str | None], model: Model) -> tuple[list[list[int]], np.ndarray]:
+class Keywords:
+    """All keywords of a model in one automaton, so that a text is read once however many there are."""
+
+    def __init__(self, model: Model) -> None:
+        words: dict[str, list[int]] = {}
+        for i, (_, k, _) in enumerate(model.keywords):
+            words.setdefault(k, []).append(i)
+        self.everywhere = words.pop("", [])
+        self.automaton, self.words = None, words
+        try:
+            import ahocorasick
+        except ImportError:
+            return
+        if words:
+            self.automaton = ahocorasick.Automaton()
+            for k, at in words.items():
+                self.automaton.add_word(k, at)
+            self.automaton.make_automaton()
+
+    def __call__(self, text: str) -> list[int]:
+        """The places in the model of the keywords that text holds as substrings, in order."""
+        if self.automaton is None:
+            found = [i for k, at in self.words.items() if k in text for i in at]
+        else:
+            found = {i for _, at in self.automaton.iter(text) for i in at}
+        return sorted([*found, *self.everywhere])
+
+
+def found_keywords(texts: list[str | None], model: Model, find: Keywords | None = None) -> tuple[list[list[int]], np.ndarray]:
     """The keywords, by place in the model, that each text holds as substrings, without word boundaries; and each category's score.
 
     The score is the weight of the hits over the weight of all the category's keywords, to 3 digits; 0 without keywords.
     """
-    words: dict[str, list[int]] = {}
-    for i, (_, k, _) in enumerate(model.keywords):
-        words.setdefault(k, []).append(i)
+    find = find or Keywords(model)
+    known: dict[str, list[int]] = {}
     category, weight = (np.array([k[j] for k in model.keywords], t) for j, t in ((0, np.int64), (2, np.float64)))
     totals = np.array(model.totals)
     scores, hits = np.zeros((len(texts), len(model.names))), []
     for r, t in enumerate(texts):
-        h = sorted(i for k, at in words.items() if t and k in t for i in at)
+        h = known.get(t) if t else []
+        if h is None:
+            h = known[t] = find(t)
         hits.append(h)
         if h:
             scores[r] = np.bincount(category[h], weight[h], len(model.names))
@@ -101,10 +130,11 @@ def scored(records: DataFrame, model: Model, cargo: str = "cargo_description", c
     m = model.matrix
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = Keywords(model)
         for b in batches:
             *plain, low, v = b.columns
             ok = v.is_valid().to_numpy(zero_copy_only=False)
-            hits, kw = found_keywords(low.to_pylist(), model)
+            hits, kw = found_keywords(low.to_pylist(), model, find)
             sem = _cosines(v, ok, m, dim)
             gate = ok & (plain[-1].to_numpy(zero_copy_only=False) == "ok")
             final = _round(sem * SEMANTIC_WEIGHT + kw[ok] * KEYWORD_WEIGHT, 4)[gate[ok]]
@@ -169,7 +199,7 @@ def envelope(df: DataFrame, model: Model, clock: Column, version: str, cargo: st
         F.struct(
             "shipment_id",
             F.struct(F.col(cargo).alias("cargo_description"), F.col(commodity).alias("commodity_description")).alias("input"),
-            F.struct("categories", "confidence_state", "reason", scores_map(model).alias("scores")).alias("result"),
-            F.struct(F.lit(version).alias("model_version"), "threshold_used", n.alias("total_categories"), n.alias("evaluated"), F.date_format(clock, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("classified_at")).alias("meta"),
+            F.struct("categories", "confidence_state", F.col("threshold_used").alias("threshold"), scores_map(model).alias("scores"), "reason").alias("result"),
+            F.struct(F.lit(version).alias("model_version"), F.date_format(clock, "yyyy-MM-dd'T'HH:mm:ssXXX").alias("classified_at"), n.alias("total_categories"), n.alias("evaluated")).alias("meta"),
         )
     )

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -11,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine_distance, doubles, is_usable, rows_of, unit_rows
 
-#: Queries that are sent to the executors at a time.
+#: Vectors of a block, about.
 BLOCK = 4096
 
 
@@ -23,45 +21,56 @@ def nearest(rows: DataFrame, reference: DataFrame, k: int, id_col: str, vec_col:
     return out.orderBy(F.asc_nulls_last("distance"), id_col).limit(k)
 
 
-def _unit(b: pa.RecordBatch, dim: int) -> np.ndarray:
-    return unit_rows(rows_of(b.column(1), dim))
+def _vectors(t: pa.Table, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, unit vectors) of a block, in order of id."""
+    ids = np.array(t.column("id").to_pylist(), object).astype(str)
+    o = np.argsort(ids, kind="stable")
+    return ids[o], unit_rows(rows_of(t.column("v").combine_chunks(), dim))[o]
+
 
+def _best(q: np.ndarray, x: np.ndarray, same: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, cosine) of the k best rows for each query; of equal ones the first. same: pairs that are one row."""
+    s = np.round(q @ x.T, 6)
+    s[same] = -9
+    last = -np.partition(-s, k - 1, axis=1)[:, k - 1 : k] if k < s.shape[1] else np.full((len(s), 1), -8.0)
+    i, j = np.nonzero((s >= last) & (s > -9))
+    e = s[i, j]
+    o = np.lexsort((j, -e, i))
+    i, j, e = i[o], j[o], e[o]
+    first = np.searchsorted(i, i)
+    keep = np.arange(len(i)) - first < k
+    return i[keep], j[keep], e[keep]
 
-def knn_join(queries: DataFrame, rows: DataFrame, k: int, id_col: str, vec_col: str, dim: int = 384) -> DataFrame:
+
+def knn_join(queries: DataFrame, rows: DataFrame, k: int, id_col: str, vec_col: str, dim: int = 384, block: int = BLOCK) -> DataFrame:
     """(query_id, neighbour_id, similarity): the k rows nearest to each query, the query itself left out.
 
-    A stated query set against all rows: queries go out in blocks of BLOCK, every task keeps the k best of its rows
-    for each query, and only these are shuffled.
+    A stated query set against all rows, in blocks: both sides are cut into blocks of about `block` vectors by hash of the
+    id, every block of queries meets every block of rows in one task, which sends on the k best of each query only.
+    Nothing comes to the driver but the two counts.
     """
-    usable = lambda d: d.filter(is_usable(F.col(vec_col), dim)).select(F.col(id_col).cast("string").alias("id"), F.col(vec_col).cast("array<float>").alias("v"))
-    asked = usable(queries).orderBy("id").toArrow()
-    ids, vecs = asked.column("id").to_pylist(), unit_rows(rows_of(asked.column("v").combine_chunks(), dim)) if asked.num_rows else np.zeros((0, dim))
-    out = None
-    for lo in range(0, max(len(ids), 1), BLOCK):
-        shared = rows.sparkSession.sparkContext.broadcast((ids[lo : lo + BLOCK], vecs[lo : lo + BLOCK]))
-
-        def best(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            qid, q = shared.value
-            names, sims = np.zeros((len(qid), 0), object), np.zeros((len(qid), 0))
-            for b in batches:
-                new, x = np.array(b.column(0).to_pylist(), object), _unit(b, dim)
-                s = np.round(q @ x.T, 6)
-                at = {n: j for j, n in enumerate(b.column(0).to_pylist())}
-                for i, n in enumerate(qid):
-                    if n in at:
-                        s[i, at[n]] = -9
-                near = min(k, s.shape[1])
-                # the k best of the batch and what ties with the last of them
-                last = -np.partition(-s, near - 1, axis=1)[:, near - 1 : near]
-                wide = int((s >= last).sum(axis=1).max(initial=0))
-                c = np.argsort(-s, axis=1, kind="stable")[:, :wide]
-                all_s, all_n = np.concatenate([sims, np.take_along_axis(s, c, 1)], axis=1), np.concatenate([names, new[c]], axis=1)
-                pick = np.stack([np.lexsort((n, -c))[:k] for n, c in zip(all_n.astype(str), all_s)]) if len(qid) else np.zeros((0, 0), np.int64)
-                sims, names = np.take_along_axis(all_s, pick, 1), np.take_along_axis(all_n, pick, 1)
-            i, j = np.nonzero(sims > -9)
-            yield pa.RecordBatch.from_pydict({"query_id": pa.array([qid[x] for x in i], pa.string()), "neighbour_id": pa.array(names[i, j].tolist(), pa.string()), "similarity": pa.array(sims[i, j], pa.float64())})
-
-        part = usable(rows).mapInArrow(best, "query_id string, neighbour_id string, similarity double")
-        out = part if out is None else out.unionByName(part)
+
+    def usable(d: DataFrame) -> DataFrame:
+        return d.filter(is_usable(F.col(vec_col), dim)).select(F.col(id_col).cast("string").alias("id"), F.col(vec_col).cast("array<float>").alias("v"))
+
+    asked, rows = usable(queries), usable(rows)
+    n_asked, n_rows = (max(1, -(-d.count() // block)) for d in (asked, rows))
+    number = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.withColumn("a", number(n_asked)).withColumn("b", every(n_rows))
+    right = rows.withColumn("b", number(n_rows)).withColumn("a", every(n_asked))
+
+    def meet(q: pa.Table, x: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        if q.num_rows and x.num_rows:
+            (qid, qv), (xid, xv) = _vectors(q, dim), _vectors(x, dim)
+            for lo in range(0, len(qid), 256):
+                part = qid[lo : lo + 256]
+                i, j, e = _best(qv[lo : lo + 256], xv, part[:, None] == xid[None], k)
+                out.append((part[i], xid[j], e))
+        cols = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, str), np.zeros(0, str), np.zeros(0)]
+        return pa.table({"query_id": pa.array(cols[0].tolist(), pa.string()), "neighbour_id": pa.array(cols[1].tolist(), pa.string()), "similarity": pa.array(cols[2], pa.float64())})
+
+    out = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(meet, "query_id string, neighbour_id string, similarity double")
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "neighbour_id")
     return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

@@ -15,17 +15,20 @@ from ..operators import dimensions as D
 from ..operators import discovery as X
 from ..operators import embedding as B
 from ..operators import evaluation as E
+from ..operators import pipeline as P
 from ..operators import scoring as S
 from ..operators import search as N
+from ..runtime import scratch
 from ..sources import sinks
 from ..sources.schemas import SPLITS, STATES
 from ..sources.tables import table
+from ..streaming import classify as K
 
 #: Ids ending in these digits are held out.
 SPLIT_RULES = {"validation": r"[0-9]*[78]$", "test": r"[0-9]*9$"}
 #: Keywords given by category name.
 SEED_KEYWORDS = (("circuitry", "oscillators"), ("pantry", "preserves"), ("pantry", "cordials"), ("foundry", "castings"), ("no_such_category", "nothing"))
-CSV_LINES = ('a1,b1,"circuitry, pantry ,circuitry"', "a2,b2,foundry", 'a3,"b,3",", ,"')
+VERSION = "enc-384-v2"
 CLOCK = "2026-01-01 00:00:00"
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,11 +63,23 @@ def _named(df: DataFrame) -> DataFrame:
     return df.select("shipment_id", "requested_at", "confidence_state", "reason", F.array_join("categories", ",").alias("categories"), "max_score")
 
 
-def _labelled(spark: SparkSession, base: str) -> DataFrame:
-    """Classified rows as samples: the stored categories are what is expected, the stored final scores what is predicted from."""
-    rows = table(spark, base, "shipment_classifications").filter((F.size("scores") > 0) & F.col("categories").isNotNull())
-    entries = F.transform(F.map_entries("scores"), lambda e: F.struct(e["key"].alias("name"), e["value"]["final_score"].alias("score")))
-    return rows.select(F.col("shipment_id").alias("sample"), F.array_distinct("categories").alias("expected"), entries.alias("scores"))
+def _label_model(spark: SparkSession, base: str) -> D.Model:
+    """The model whose centroids come from the training texts, in the space of the hashed embedder."""
+    return P.model_from_labels(*(table(spark, base, t) for t in ("shipment_labels", "classification_categories", "category_keywords")))
+
+
+def _samples(spark: SparkSession, base: str, split: str) -> DataFrame:
+    """The labelled texts of a split, scored once by the model of the training texts; expected are their labels."""
+    rows = E.labels_grouped(table(spark, base, "shipment_labels"), split)
+    return P.evaluated(rows, _label_model(spark, base), "shipment_id", "cargo_text", "commodity_text")
+
+
+def _csv(spark: SparkSession, base: str) -> DataFrame:
+    """The test split written as CSV files into the shared folder, and read from there."""
+    path = scratch(spark, "csv")
+    rows = E.labels_grouped(table(spark, base, "shipment_labels"), "test")
+    E.write_csv(rows.select(F.col("cargo_text").alias("cargo"), F.col("commodity_text").alias("commodity"), "expected"), path)
+    return E.csv_samples(spark, path)
 
 
 @query
@@ -127,8 +142,42 @@ def classify_bands_tuned(spark: SparkSession, base: str) -> DataFrame:
 
 @query
 def classify_batch(spark: SparkSession, base: str) -> DataFrame:
-    t = F.when(F.col("threshold").between(0, 1), F.col("threshold")).otherwise(F.lit(S.THRESHOLD))
-    return _named(_banded(spark, base, t)[0])
+    m = _model(spark, base)
+    return _named(S.banded(S.scored(P.valid(_requests(spark, base)), m), m, F.col("threshold")))
+
+
+@query
+def request_errors(spark: SparkSession, base: str) -> DataFrame:
+    return P.errors(table(spark, base, "classify_requests"))
+
+
+@query
+def predict_batch(spark: SparkSession, base: str) -> DataFrame:
+    rows = P.valid(table(spark, base, "classify_requests"))
+    return _named(P.predict(rows, _label_model(spark, base), F.col("threshold")))
+
+
+@query
+def persist_results(spark: SparkSession, base: str) -> DataFrame:
+    done = P.persist(table(spark, base, "shipment_classifications"), table(spark, base, "classify_requests"), _label_model(spark, base), VERSION, F.lit(CLOCK).cast("timestamp"))
+    return done.select(
+        "shipment_id", F.coalesce(F.size("embedding"), F.lit(-1)).alias("dim"), F.array_join("categories", ",").alias("categories"), F.size("scores").alias("n_scores"),
+        "confidence_state", "reason", "threshold_used", "model_version", "classified_at",
+    )
+
+
+@query
+def stream_classify(spark: SparkSession, base: str) -> DataFrame:
+    """The requests' file as a stream; what has arrived is classified, written once and read."""
+    out = scratch(spark, "stream")
+    vectors = table(spark, base, "shipment_classifications").select("shipment_id", "embedding")
+    K.run_once(K.classify_stream(K.read_requests(spark, base, "classify_requests.parquet"), vectors, _model(spark, base)), f"{out}/checkpoint", f"{out}/table")
+    return spark.read.parquet(f"{out}/table")
+
+
+@query
+def health(spark: SparkSession, base: str) -> DataFrame:
+    return P.health(_model(spark, base), VERSION, spark)
 
 
 @query
@@ -145,14 +194,26 @@ def multi_label_assign(spark: SparkSession, base: str) -> DataFrame:
 
 @query
 def scores_json(spark: SparkSession, base: str) -> DataFrame:
+    """The JSON of every record's scores, read again: one row for each category."""
     df, m = _banded(spark, base)
-    return df.select("shipment_id", "requested_at", F.to_json(S.scores_map(m)).alias("scores"))
+    kind = "map<string,struct<semantic_score:double,keyword_score:double,final_score:double,matched:boolean,keywords_hit:array<string>>>"
+    rows = df.select("shipment_id", "requested_at", F.to_json(S.scores_map(m)).alias("scores"))
+    rows = rows.select("shipment_id", "requested_at", F.explode(F.from_json("scores", kind)).alias("name", "s"))
+    return rows.select("shipment_id", "requested_at", "name", "s.semantic_score", "s.keyword_score", "s.final_score", "s.matched", F.size("s.keywords_hit").alias("hits"))
 
 
 @query
 def response_envelope(spark: SparkSession, base: str) -> DataFrame:
-    df, m = _banded(spark, base)
-    return df.select("shipment_id", "requested_at", S.envelope(df, m, F.lit(CLOCK).cast("timestamp"), "enc-384-v2").alias("response"))
+    """The response to every request, and its fields read from the JSON."""
+    m = _model(spark, base)
+    df = S.banded(S.scored(P.valid(_requests(spark, base)), m), m, F.col("threshold"))
+    rows = df.select("requested_at", S.envelope(df, m, F.lit(CLOCK).cast("timestamp"), VERSION).alias("r"))
+    field = lambda path, kind="string": F.get_json_object("r", f"$.{path}").cast(kind)
+    return rows.select(
+        field("shipment_id").alias("shipment_id"), "requested_at", field("input.cargo_description").alias("cargo_description"), field("result.confidence_state").alias("confidence_state"),
+        field("result.threshold", "double").alias("threshold"), field("result.reason").alias("reason"), F.coalesce(F.json_array_length(field("result.categories")), F.lit(0)).alias("n_categories"),
+        field("meta.model_version").alias("model_version"), field("meta.total_categories", "int").alias("total_categories"), field("meta.classified_at").alias("classified_at"),
+    )
 
 
 @query
@@ -193,7 +254,7 @@ def train_rows_per_category(spark: SparkSession, base: str) -> DataFrame:
 
 @query
 def sample_per_category(spark: SparkSession, base: str) -> DataFrame:
-    return E.sample_per_category(table(spark, base, "shipment_labels"), table(spark, base, "classification_categories"), 100).select("category", "id", "rank")
+    return E.sample_per_category(table(spark, base, "shipment_labels"), table(spark, base, "classification_categories")).select("category", "id", "rank")
 
 
 @query
@@ -203,14 +264,18 @@ def labels_grouped(spark: SparkSession, base: str) -> DataFrame:
 
 @query
 def csv_label_sets(spark: SparkSession, base: str) -> DataFrame:
-    rows = spark.createDataFrame([(x,) for x in CSV_LINES], "line string")
-    rows = rows.select(F.from_csv("line", "cargo string, commodity string, expected_labels string").alias("c")).select("c.*")
-    return rows.select("cargo", "commodity", F.array_join(F.sort_array(E.label_set(F.col("expected_labels"))), ",").alias("expected"))
+    return _csv(spark, base).select("cargo", "commodity", F.array_join(F.sort_array("expected"), ",").alias("expected"))
+
+
+@query
+def centroids_from_labels(spark: SparkSession, base: str) -> DataFrame:
+    built = P.built_from_labels(table(spark, base, "shipment_labels"), table(spark, base, "classification_categories"))
+    return built.select("name", "sample_count", F.posexplode("centroid").alias("pos", "x")).select("name", "sample_count", "pos", F.round("x", 6).alias("value")).filter("value <> 0")
 
 
 @query
 def threshold_sweep(spark: SparkSession, base: str) -> DataFrame:
-    return E.sweep(E.predictions(_labelled(spark, base).filter(F.col("sample").rlike(SPLIT_RULES["validation"])), E.SWEEP, S.FLOOR))
+    return E.sweep(E.predictions(_samples(spark, base, "validation"), E.SWEEP, S.FLOOR))
 
 
 @query
@@ -218,14 +283,25 @@ def best_threshold(spark: SparkSession, base: str) -> DataFrame:
     return E.best_threshold(threshold_sweep(spark, base)).select("threshold", "f1")
 
 
+@query
+def sweep_report(spark: SparkSession, base: str) -> DataFrame:
+    return E.report_lines(threshold_sweep(spark, base))
+
+
 @query
 def per_category_prf(spark: SparkSession, base: str) -> DataFrame:
-    return E.per_category(E.predictions(_labelled(spark, base).filter(F.col("sample").rlike(SPLIT_RULES["validation"])), (0.35, 0.45, 0.55), S.FLOOR))
+    return E.per_category(E.predictions(_samples(spark, base, "validation"), (0.35, 0.45, 0.55), S.FLOOR))
 
 
 @query
 def test_confirmation(spark: SparkSession, base: str) -> DataFrame:
-    return E.sweep(E.predictions(_labelled(spark, base).filter(F.col("sample").rlike(SPLIT_RULES["test"])), (S.THRESHOLD,), S.FLOOR))
+    return E.confirmed(_samples(spark, base, "test"), S.THRESHOLD, S.FLOOR)
+
+
+@query
+def csv_sweep(spark: SparkSession, base: str) -> DataFrame:
+    rows = P.evaluated(_csv(spark, base).withColumn("sample", F.lit("")), _label_model(spark, base), "sample", "cargo", "commodity")
+    return E.sweep(E.predictions(rows, E.SWEEP, S.FLOOR))
 
 
 @query
@@ -317,6 +393,7 @@ def constraint_violations(spark: SparkSession, base: str) -> DataFrame:
         ("label_split", labels.filter(~F.col("split").isin(*SPLITS))),
         ("label_text_null", labels.filter("cargo_text is null or commodity_text is null")),
         ("label_category_unknown", labels.join(cats, "category_name", "left_anti")),
+        ("keyword_repeated", table(spark, base, "category_keywords").groupBy("category_id", "keyword").count().filter("count > 1")),
         ("label_shipment_repeated", labels.groupBy("shipment_id").count().filter("count > 1")),
         ("classification_state", done.filter(~F.col("confidence_state").isin(*STATES))),
         ("classification_vector", done.filter("embedding is not null and size(embedding) <> 384")),
@@ -361,20 +438,31 @@ def _given_clusters(spark: SparkSession, base: str) -> DataFrame:
 
 
 @query
-def cluster_summary(spark: SparkSession, base: str) -> DataFrame:
+def category_summary(spark: SparkSession, base: str) -> DataFrame:
     return X.cluster_summary(_given_clusters(spark, base).select("id", "cluster"))
 
 
 @query
-def cluster_hint(spark: SparkSession, base: str) -> DataFrame:
+def category_hint(spark: SparkSession, base: str) -> DataFrame:
     built = C.centroid_build(_given_clusters(spark, base).filter("cluster <> '-1'"), "cluster", "embedding")
     return X.cluster_hint(built, _model(spark, base), "cluster")
 
 
+@query
+def cluster_summary(spark: SparkSession, base: str) -> DataFrame:
+    return X.cluster_summary(hdbscan_clusters(spark, base))
+
+
+@query
+def cluster_hint(spark: SparkSession, base: str) -> DataFrame:
+    rows = hdbscan_clusters(spark, base).filter("cluster >= 0").join(_points(spark, base), "id")
+    return X.cluster_hint(C.centroid_build(rows, "cluster", "v"), _model(spark, base), "cluster")
+
+
 @query
 def embed_batches(spark: SparkSession, base: str) -> DataFrame:
     rows = table(spark, base, "shipment_labels").select("id", "cargo_text", "commodity_text")
-    return B.embed_hashed(rows, F.concat("cargo_text", F.lit(" "), "commodity_text")).select("id", "embedding")
+    return B.embed_hashed(rows, F.concat("cargo_text", F.lit(" "), "commodity_text")).select("id", F.posexplode("embedding").alias("pos", "x")).filter("x <> 0").select("id", "pos", F.round(F.col("x").cast("double"), 5).alias("value"))
 
 
 def queries() -> dict[str, Query]:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from ..operators.scoring import GENERIC
+
 _SPACE = r"\s\p{Z}\x0B\x{85}\x{1C}-\x{1F}"
-_GENERIC = "'cargo', 'goods', 'items', 'as per invoice', 'general merchandise', 'various', 'misc', 'miscellaneous', 'freight', 'shipment', 'commodity', 'general cargo'"
+_GENERIC = ", ".join(f"'{g}'" for g in GENERIC)
 
 
 def _label(c: str, default: str | None = None) -> str:
@@ -11,6 +13,10 @@ def _label(c: str, default: str | None = None) -> str:
     return read if default is None else f"coalesce({read}, '{default}')"
 
 
+def _text(cargo: str, commodity: str) -> str:
+    return rf"regexp_replace(coalesce({cargo}, '') || ' ' || coalesce({commodity}, ''), '^[{_SPACE}]+|[{_SPACE}]+$', '', 'g')"
+
+
 _UNIT = """
 usable AS (
   SELECT shipment_id, confidence_state, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM shipment_classifications
@@ -29,13 +35,17 @@ kw AS (
 scoring_kw AS (SELECT kw.* FROM kw WHERE name IN (SELECT name FROM cent)),
 total AS (SELECT name, sum(weight) AS total FROM scoring_kw GROUP BY name)
 """
-_REQUESTS = rf"""
+
+
+def _req(source: str = "classify_requests") -> str:
+    return rf"""
 req AS (
   SELECT *, CASE WHEN length(lower(text)) < 10 THEN 'too_short' WHEN lower(text) IN ({_GENERIC}) THEN 'generic' ELSE 'ok' END AS quality
-  FROM (SELECT row_number() OVER () AS rid, shipment_id, requested_at, threshold,
-               regexp_replace(coalesce(cargo_description, '') || ' ' || coalesce(commodity_description, ''), '^[{_SPACE}]+|[{_SPACE}]+$', '', 'g') AS text
-        FROM classify_requests))
+  FROM (SELECT row_number() OVER () AS rid, shipment_id, requested_at, threshold, cargo_description, {_text("cargo_description", "commodity_description")} AS text FROM {source}))
 """
+
+
+_REQUESTS = _req()
 _HITS = "hits AS (SELECT r.rid, r.shipment_id, r.requested_at, k.name, k.keyword, k.weight FROM req r JOIN scoring_kw k ON contains(lower(r.text), k.keyword))"
 _FINAL = f"""
 {_UNIT}, {_CENTROIDS}, {_KEYWORDS}, {_REQUESTS}, {_HITS},
@@ -48,9 +58,49 @@ final AS (
 """
 
 
-def _banded(threshold: str, floor: str) -> str:
+def _hashed(name: str, source: str, key: str) -> str:
+    """name (key, pos, x): the hashed words of the texts of source at length 1."""
+    return rf"""
+{name}_w AS (SELECT {key}, unnest(regexp_extract_all(lower(upper(text)), '[\p{{L}}\p{{N}}]+')) AS w FROM {source}),
+{name}_h AS (SELECT {key}, CAST('0x' || md5(w)[1:8] AS BIGINT) % 768 AS h FROM {name}_w),
+{name}_x AS (SELECT {key}, h // 2 AS pos, sum(CASE WHEN h % 2 = 0 THEN 1.0 ELSE -1.0 END)::DOUBLE AS x FROM {name}_h GROUP BY ALL),
+{name} AS (SELECT {key}, pos, x / sqrt(sum(x * x) OVER (PARTITION BY {key})) AS x FROM {name}_x WHERE x <> 0)
+"""
+
+
+_TRAINED = rf"""
+picked AS (
+  SELECT id, category AS name, text FROM (
+    SELECT id, category, text, row_number() OVER (PARTITION BY category ORDER BY md5('7|' || id), id) AS r
+    FROM (SELECT id, {_label("category_name")} AS category, {_text("cargo_text", "commodity_text")} AS text FROM shipment_labels WHERE {_label("split", "train")} = 'train')
+    WHERE category IN (SELECT name FROM classification_categories WHERE is_active)) WHERE r <= 2000),
+{_hashed("train_v", "picked", "id")},
+train_s AS (SELECT name, pos, sum(x) AS s FROM train_v JOIN picked USING (id) GROUP BY ALL),
+train_n AS (SELECT name, count(*) AS sample_count FROM picked WHERE id IN (SELECT id FROM train_v) GROUP BY name),
+cent AS (SELECT name, pos, s / sqrt(sum(s * s) OVER (PARTITION BY name)) AS x FROM train_s)
+"""
+
+
+def _predicted(req: str) -> str:
+    """final (rid, ...) of the texts of req by the model that is built from labels."""
     return f"""
-{_FINAL},
+{_TRAINED}, {_KEYWORDS}, {req}, {_HITS},
+kws AS (SELECT h.rid, h.name, round(sum(h.weight) / any_value(t.total), 3) AS keyword_score FROM hits h JOIN total t USING (name) GROUP BY h.rid, h.name),
+{_hashed("req_v", "(SELECT rid, text FROM req WHERE quality = 'ok')", "rid")},
+dots AS (SELECT v.rid, c.name, sum(v.x * c.x) AS d FROM req_v v JOIN cent c USING (pos) GROUP BY ALL),
+sem AS (
+  SELECT rid, name, round(coalesce(d, 0.0), 4) + 0.0 AS semantic_score
+  FROM (SELECT DISTINCT rid FROM req_v) CROSS JOIN (SELECT DISTINCT name FROM cent) LEFT JOIN dots USING (rid, name)),
+final AS (
+  SELECT r.rid, r.shipment_id, r.requested_at, s.name, s.semantic_score, coalesce(k.keyword_score, 0.0) AS keyword_score,
+         round(s.semantic_score * 0.8 + coalesce(k.keyword_score, 0.0) * 0.2, 4) AS final_score
+  FROM req r JOIN sem s USING (rid) LEFT JOIN kws k ON k.rid = r.rid AND k.name = s.name)
+"""
+
+
+def _banded(threshold: str, floor: str, final: str = _FINAL) -> str:
+    return f"""
+{final},
 top AS (SELECT rid, greatest(0.0, max(final_score)) AS max_score, arg_min(name, (-final_score, name)) AS best FROM final GROUP BY rid),
 banded AS (
   SELECT r.rid, r.shipment_id, r.requested_at, t.max_score, t.best, {threshold} AS threshold,
@@ -61,28 +111,34 @@ over AS (SELECT b.rid, string_agg(f.name, ',' ORDER BY f.name) AS names FROM ban
 """
 
 
-def _bands(threshold: str = "0.45", floor: str = "0.35") -> str:
+_OWN = "coalesce(r.threshold, 0.45)"
+
+
+def _bands(threshold: str = "0.45", floor: str = "0.35", final: str = _FINAL, columns: str = "reason, max_score") -> str:
     return f"""
-WITH {_banded(threshold, floor)}
-SELECT shipment_id, requested_at, confidence_state, reason, max_score,
+WITH {_banded(threshold, floor, final)}
+SELECT shipment_id, requested_at, confidence_state, {columns},
        CASE confidence_state WHEN 'classified' THEN names WHEN 'low_confidence' THEN best ELSE '' END AS categories
-FROM banded LEFT JOIN over USING (rid)
+FROM banded LEFT JOIN over USING (rid) WHERE threshold BETWEEN 0 AND 1
 """
 
 
-def _pred(pattern: str, thresholds: str, floor: str = "0.35") -> str:
+def _grouped(split: str) -> str:
+    return f"""(SELECT shipment_id, max(cargo_text) AS cargo_description, max(commodity_text) AS commodity_description, list_sort(list(DISTINCT {_label('category_name')})) AS expected,
+  NULL::TIMESTAMP AS requested_at, NULL::DOUBLE AS threshold FROM shipment_labels WHERE {_label('split', 'train')} = '{split}' GROUP BY shipment_id)"""
+
+
+def _pred(split: str, thresholds: str, floor: str = "0.35") -> str:
     return rf"""
-labelled AS (
-  SELECT shipment_id AS sample, list_distinct(categories) AS expected, map_entries(scores) AS e FROM shipment_classifications
-  WHERE cardinality(scores) > 0 AND categories IS NOT NULL AND regexp_matches(shipment_id, '{pattern}')),
-flat AS (SELECT sample, unnest(e) AS e FROM labelled),
-topped AS (SELECT sample, greatest(0.0, max(e.value.final_score)) AS top, arg_min(e.key, (-e.value.final_score, e.key)) AS best FROM flat GROUP BY sample),
+{_predicted(_req(_grouped(split)))},
+labelled AS (SELECT q.rid AS sample, g.expected FROM req q JOIN {_grouped(split)} g USING (shipment_id)),
+topped AS (SELECT rid AS sample, greatest(0.0, max(final_score)) AS top, arg_min(name, (-final_score, name)) AS best, list(name) AS names, list(final_score) AS scores FROM final GROUP BY rid),
 cut AS (SELECT unnest([{thresholds}])::DOUBLE AS threshold),
 pred AS (
-  SELECT l.sample, l.expected, c.threshold, t.top, t.best,
-         CASE WHEN t.top < {floor} THEN [] WHEN t.top < c.threshold THEN [t.best]
-              ELSE list_transform(list_filter(l.e, lambda x: x.value.final_score >= c.threshold), lambda x: x.key) END AS predicted
-  FROM labelled l JOIN topped t USING (sample) CROSS JOIN cut c),
+  SELECT l.sample, l.expected, c.threshold,
+         CASE WHEN coalesce(t.top, 0.0) < {floor} THEN [] WHEN t.top < c.threshold THEN [t.best]
+              ELSE list_transform(list_filter(list_zip(t.names, t.scores), lambda x: x[2] >= c.threshold), lambda x: x[1]) END AS predicted
+  FROM labelled l LEFT JOIN topped t USING (sample) CROSS JOIN cut c),
 counted AS (
   SELECT threshold, len(list_intersect(predicted, expected)) AS tp, len(list_filter(predicted, lambda x: NOT list_contains(expected, x))) AS fp,
          len(list_filter(expected, lambda x: NOT list_contains(predicted, x))) AS fn FROM pred),
@@ -93,7 +149,10 @@ swept AS (
 """
 
 
-_SWEEP = _pred("[0-9]*[78]$", "0.20, 0.25, 0.30, 0.35, 0.40, 0.45, 0.50, 0.55, 0.60")
+_GRID = "0.20, 0.25, 0.30, 0.35, 0.40, 0.45, 0.50, 0.55, 0.60"
+_SWEEP = _pred("validation", _GRID)
+_LAST = """(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY shipment_id ORDER BY requested_at DESC NULLS LAST, cargo_description DESC NULLS LAST, commodity_description DESC NULLS LAST, coalesce(threshold, 0.45) DESC) AS r
+  FROM classify_requests WHERE persist AND coalesce(threshold, 0.45) BETWEEN 0 AND 1) WHERE r = 1)"""
 _BUILT = f"""
 labelled AS (SELECT shipment_id, unnest(categories) AS name FROM shipment_classifications),
 {_UNIT},
@@ -123,7 +182,37 @@ FROM hits h JOIN total t USING (name) GROUP BY h.rid, h.shipment_id, h.requested
     "blended_scores": f"WITH {_FINAL} SELECT shipment_id, requested_at, name, semantic_score + 0.0 AS semantic_score, keyword_score, final_score + 0.0 AS final_score FROM final",
     "classify_bands": _bands(),
     "classify_bands_tuned": _bands("0.40", "0.20"),
-    "classify_batch": _bands("CASE WHEN r.threshold BETWEEN 0 AND 1 THEN r.threshold ELSE 0.45 END"),
+    "classify_batch": _bands(_OWN),
+    "predict_batch": _bands(_OWN, final=_predicted(_REQUESTS)),
+    "stream_classify": _bands(_OWN, columns="max_score"),
+    "request_errors": """
+SELECT shipment_id, requested_at, 'cargo_description' AS error FROM classify_requests WHERE cargo_description IS NULL UNION ALL
+SELECT shipment_id, requested_at, 'commodity_description' FROM classify_requests WHERE commodity_description IS NULL UNION ALL
+SELECT shipment_id, requested_at, 'threshold' FROM classify_requests WHERE NOT threshold BETWEEN 0 AND 1""",
+    "persist_results": f"""
+WITH {_banded(_OWN, '0.35', _predicted(_req(_LAST)))},
+new AS (
+  SELECT shipment_id, CASE WHEN rid IN (SELECT rid FROM req_v) THEN 384 ELSE -1 END AS dim,
+         CASE confidence_state WHEN 'classified' THEN names WHEN 'low_confidence' THEN best ELSE '' END AS categories,
+         CASE WHEN max_score IS NULL THEN 0 ELSE (SELECT count(DISTINCT name) FROM cent) END AS n_scores, confidence_state, reason, CAST(threshold AS DECIMAL(4, 3)) AS threshold_used,
+         'enc-384-v2' AS model_version, TIMESTAMP '2026-01-01 00:00:00' AS classified_at
+  FROM banded LEFT JOIN over USING (rid))
+SELECT shipment_id, dim::INT AS dim, categories, n_scores::INT AS n_scores, confidence_state, reason, threshold_used, model_version, classified_at FROM new UNION ALL
+SELECT shipment_id, coalesce(len(embedding), -1)::INT, array_to_string(categories, ','), cardinality(scores)::INT, confidence_state, reason, threshold_used, model_version, classified_at
+FROM shipment_classifications WHERE shipment_id NOT IN (SELECT shipment_id FROM new)""",
+    "health": f"WITH {_CENTROIDS} SELECT 'ok' AS status, count(*)::INT AS categories_loaded, 'enc-384-v2' AS model_version FROM cent",
+    "scores_json": f"""
+WITH {_banded('0.45', '0.35')}
+SELECT b.shipment_id, b.requested_at, f.name, f.semantic_score + 0.0 AS semantic_score, f.keyword_score, f.final_score + 0.0 AS final_score,
+       CASE b.confidence_state WHEN 'classified' THEN f.final_score >= b.threshold WHEN 'low_confidence' THEN f.name = b.best ELSE false END AS matched,
+       (SELECT count(*) FROM hits h WHERE h.rid = f.rid AND h.name = f.name)::INT AS hits
+FROM banded b JOIN final f USING (rid)""",
+    "response_envelope": f"""
+WITH {_banded(_OWN, '0.35')}
+SELECT b.shipment_id, b.requested_at, q.cargo_description, b.confidence_state, b.threshold, b.reason,
+       CASE b.confidence_state WHEN 'classified' THEN (SELECT count(*) FROM final f WHERE f.rid = b.rid AND f.final_score >= b.threshold) WHEN 'low_confidence' THEN 1 ELSE 0 END::INT AS n_categories,
+       'enc-384-v2' AS model_version, (SELECT count(*) FROM cent)::INT AS total_categories, '2026-01-01T00:00:00Z' AS classified_at
+FROM banded b JOIN req q USING (rid) WHERE b.threshold BETWEEN 0 AND 1""",
     "low_confidence_top1": f"WITH {_banded('0.45', '0.35')} SELECT shipment_id, requested_at, best AS category, max_score FROM banded WHERE confidence_state = 'low_confidence'",
     "multi_label_assign": f"WITH {_banded('0.45', '0.35')} SELECT b.shipment_id, b.requested_at, f.name AS category FROM banded b JOIN final f ON f.rid = b.rid AND f.final_score >= 0.45 WHERE confidence_state = 'classified'",
     "l2_normalise": f"WITH {_UNIT} SELECT shipment_id, unnest(range(384))::INT AS pos, round(unnest(v), 6) + 0.0 AS value FROM unit",
@@ -138,20 +227,26 @@ SELECT * FROM new UNION ALL SELECT category_id, sample_count, updated_at FROM ca
 SELECT category, id, rank FROM (
   SELECT category, id, row_number() OVER (PARTITION BY category ORDER BY md5('7|' || id), id)::INT AS rank
   FROM (SELECT id, {_label('category_name')} AS category FROM shipment_labels WHERE {_label('split', 'train')} = 'train')
-  WHERE category IN (SELECT name FROM classification_categories WHERE is_active)) WHERE rank <= 100""",
+  WHERE category IN (SELECT name FROM classification_categories WHERE is_active)) WHERE rank <= 2000""",
     "labels_grouped": f"""
 SELECT shipment_id, max(cargo_text) AS cargo_text, max(commodity_text) AS commodity_text, array_to_string(list_sort(list(DISTINCT {_label('category_name')})), ',') AS expected
 FROM shipment_labels WHERE {_label('split', 'train')} = 'validation' GROUP BY shipment_id""",
-    "csv_label_sets": "SELECT * FROM (VALUES ('a1', 'b1', 'circuitry,pantry'), ('a2', 'b2', 'foundry'), ('a3', 'b,3', '')) t(cargo, commodity, expected)",
+    "csv_label_sets": f"SELECT coalesce(cargo_description, '') AS cargo, coalesce(commodity_description, '') AS commodity, array_to_string(expected, ',') AS expected FROM {_grouped('test')}",
+    "centroids_from_labels": f"WITH {_TRAINED} SELECT name, sample_count, pos::INT AS pos, round(x, 6) + 0.0 AS value FROM cent JOIN train_n USING (name) WHERE round(x, 6) <> 0",
     "threshold_sweep": f"WITH {_SWEEP} SELECT * FROM swept",
     "best_threshold": f"WITH {_SWEEP} SELECT threshold, f1 FROM swept ORDER BY f1 DESC, threshold LIMIT 1",
+    "sweep_report": f"WITH {_SWEEP} SELECT threshold, printf('%10.2f  %10.4f  %8.4f  %8.4f  %5d  %5d  %5d  %5d', threshold, precision, recall, f1, tp, fp, fn, n_samples) AS line FROM swept",
+    "csv_sweep": f"WITH {_pred('test', _GRID)} SELECT * FROM swept",
     "per_category_prf": f"""
-WITH {_pred("[0-9]*[78]$", "0.35, 0.45, 0.55")},
+WITH {_pred("validation", "0.35, 0.45, 0.55")},
 rows_ AS (SELECT threshold, predicted, expected, unnest(list_distinct(list_concat(predicted, expected))) AS category FROM pred),
 n AS (SELECT threshold, category, count(*) FILTER (list_contains(predicted, category) AND list_contains(expected, category)) AS tp,
   count(*) FILTER (list_contains(predicted, category) AND NOT list_contains(expected, category)) AS fp, count(*) FILTER (NOT list_contains(predicted, category)) AS fn FROM rows_ GROUP BY ALL)
 SELECT *, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END, 4) AS precision, round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END, 4) AS recall FROM n""",
-    "test_confirmation": f"WITH {_pred('[0-9]*9$', '0.45')} SELECT * FROM swept",
+    "test_confirmation": f"WITH {_pred('test', '0.45')} SELECT * FROM swept",
+    "embed_batches": f"""
+WITH texts AS (SELECT id, cargo_text || ' ' || commodity_text AS text FROM shipment_labels WHERE cargo_text IS NOT NULL AND commodity_text IS NOT NULL), {_hashed("v", "texts", "id")}
+SELECT id, pos::INT AS pos, round(x, 5) AS value FROM v""",
     "missing_centroids": "SELECT id, name FROM classification_categories WHERE id NOT IN (SELECT category_id FROM category_centroids)",
     "centroid_freshness": "SELECT c.name, t.sample_count, t.updated_at FROM category_centroids t JOIN classification_categories c ON c.id = t.category_id WHERE c.is_active",
     "review_queue": _queue("unclassified", "shipment_id, reason, classified_at"),
@@ -185,6 +280,7 @@ SELECT 'shipment_labels', count(*) FROM shipment_labels WHERE category_name IS N
 SELECT 'label_split' AS rule, count(*) AS violations FROM shipment_labels WHERE split NOT IN ('train', 'validation', 'test') UNION ALL
 SELECT 'label_text_null', count(*) FROM shipment_labels WHERE cargo_text IS NULL OR commodity_text IS NULL UNION ALL
 SELECT 'label_category_unknown', count(*) FROM shipment_labels l WHERE NOT EXISTS (SELECT 1 FROM classification_categories c WHERE c.name = l.category_name) UNION ALL
+SELECT 'keyword_repeated', count(*) FROM (SELECT category_id, keyword FROM category_keywords GROUP BY 1, 2 HAVING count(*) > 1) UNION ALL
 SELECT 'label_shipment_repeated', count(*) FROM (SELECT shipment_id FROM shipment_labels GROUP BY 1 HAVING count(*) > 1) UNION ALL
 SELECT 'classification_state', count(*) FROM shipment_classifications WHERE confidence_state NOT IN ('classified', 'low_confidence', 'unclassified') UNION ALL
 SELECT 'classification_vector', count(*) FROM shipment_classifications WHERE len(embedding) <> 384""",
@@ -194,10 +290,10 @@ SELECT 'classification_vector', count(*) FROM shipment_classifications WHERE len
     "unclassified_vectors": f"WITH {_POINTS} SELECT id AS shipment_id FROM pts",
     "core_distance": f"WITH {_CORE} SELECT id, round(core, 5) AS core FROM core",
     "mutual_reachability": f"WITH {_CORE} SELECT d.id, round(min(round(greatest(d.d, a.core, b.core), 6)), 5) AS reach FROM dist d JOIN core a ON a.id = d.id JOIN core b ON b.id = d.other GROUP BY d.id",
-    "cluster_summary": """
+    "category_summary": """
 WITH given AS (SELECT shipment_id AS id, coalesce(categories[1], '-1') AS cluster FROM shipment_classifications)
 SELECT cluster, count(*) AS size, array_to_string(list(id ORDER BY id)[1:10], ',') AS sample_ids FROM given GROUP BY cluster""",
-    "cluster_hint": f"""
+    "category_hint": f"""
 WITH labelled AS (SELECT shipment_id, categories[1] AS cluster FROM shipment_classifications WHERE categories[1] IS NOT NULL), {_UNIT}, {_CENTROIDS},
 flat AS (SELECT l.cluster, unnest(u.v) AS x, unnest(range(384)) AS pos FROM labelled l JOIN unit u USING (shipment_id)),
 mean AS (SELECT cluster, list(s ORDER BY pos) AS v FROM (SELECT cluster, pos, sum(x) AS s FROM flat GROUP BY ALL) GROUP BY cluster),

@@ -33,6 +33,23 @@ def cascade_delete(parents: DataFrame, gone: DataFrame, children: dict[str, tupl
     return {name: child.join(gone.select(F.col(parent).alias(column)), column, "left_anti") for name, (child, column, parent) in children.items()}
 
 
+def violations(rows: DataFrame, keys: list[str], required: list[str] = (), among: dict[str, tuple] | None = None) -> DataFrame:
+    """(rule, n) of the rules that rows break: repeated keys, nulls in required columns, values that are not among those allowed."""
+    checks = {f"{c}_null": F.col(c).isNull() for c in required} | {f"{c}_value": ~F.col(c).isin(*some) for c, some in (among or {}).items()}
+    one = rows.agg(*(F.count(F.when(bad, 1)).alias(name) for name, bad in checks.items()), F.count(F.lit(1)).alias("_all"))
+    out = one.select(F.explode(F.array(*(F.struct(F.lit(name).alias("rule"), F.col(name).alias("n")) for name in checks))).alias("r")).select("r.rule", "r.n") if checks else None
+    repeated = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("c")).filter("c > 1").agg(F.count(F.lit(1)).alias("n")).select(F.lit("key_repeated").alias("rule"), "n")
+    return (repeated if out is None else out.unionByName(repeated)).filter("n > 0")
+
+
+def enforced(rows: DataFrame, keys: list[str], required: list[str] = (), among: dict[str, tuple] | None = None) -> DataFrame:
+    """rows, or ValueError with the rules that they break; to be asked before a table is written."""
+    broken = {r["rule"]: r["n"] for r in violations(rows, keys, required, among).collect()}
+    if broken:
+        raise ValueError(f"constraints broken: {broken}")
+    return rows
+
+
 def _files(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

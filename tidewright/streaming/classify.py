@@ -2,18 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.dimensions import Model
-from ..operators.scoring import THRESHOLD, banded, scored
+from ..operators.pipeline import persist, valid
+from ..operators.scoring import banded, scored
+from ..sources.sinks import swap
 
 
 def classify_stream(requests: DataFrame, vectors: DataFrame, model: Model) -> DataFrame:
     """Streaming requests joined to a static table of vectors (shipment_id, embedding), scored and banded."""
-    rows = requests.join(vectors.select("shipment_id", "embedding"), "shipment_id", "left")
-    t = F.coalesce(F.col("threshold"), F.lit(THRESHOLD))
-    return banded(scored(rows, model), model, t).select("shipment_id", "requested_at", "confidence_state", F.array_join("categories", ",").alias("categories"), "max_score")
+    rows = valid(requests).join(vectors.select("shipment_id", "embedding"), "shipment_id", "left")
+    return banded(scored(rows, model), model, F.col("threshold")).select("shipment_id", "requested_at", "confidence_state", F.array_join("categories", ",").alias("categories"), "max_score")
+
+
+def persist_stream(requests: DataFrame, existing: str, model: Model, version: str, clock: Column, checkpoint: str) -> None:
+    """Predicts every micro-batch and upserts its results into the table at `existing`; a batch that runs again changes nothing."""
+    spark = requests.sparkSession
+
+    def write(batch: DataFrame, _: int) -> None:
+        swap(persist(spark.read.parquet(existing), batch, model, version, clock), existing)
+
+    requests.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def run_once(out: DataFrame, checkpoint: str, path: str) -> None:
@@ -22,6 +33,7 @@ def run_once(out: DataFrame, checkpoint: str, path: str) -> None:
     q.awaitTermination()
 
 
-def read_requests(spark: SparkSession, path: str) -> DataFrame:
-    """The stream of request files in a folder, with the schema of those that are there."""
-    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 8).parquet(path)
+def read_requests(spark: SparkSession, path: str, only: str = "*.parquet") -> DataFrame:
+    """The stream of the request files of a folder that have a name like `only`, with the schema of those that are there."""
+    schema = spark.read.option("pathGlobFilter", only).parquet(path).schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).option("pathGlobFilter", only).parquet(path)
