@@ -149,7 +149,7 @@ def test_viterbi_is_best_path():
     rng = np.random.default_rng(0)
     e, t = rng.standard_normal((3, 5, 4)), rng.standard_normal((4, 4))
     for row, path in zip(e, pii_model.decode(e, t)):
-        score = lambda p: t[0][p[0]] + sum(row[i][p[i]] for i in range(5)) + sum(t[p[i]][p[i + 1]] for i in range(4))
+        score = lambda p: t[0][p[0]] + sum(row[i][p[i]] for i in range(5)) + sum(t[p[i]][p[i + 1]] for i in range(4)) + t[p[4]][0]
         best = max(score(p) for p in np.ndindex(4, 4, 4, 4, 4))
         assert score(path) == pytest.approx(best)
 
@@ -161,7 +161,7 @@ def test_training_learns(tmp_path, monkeypatch):
     monkeypatch.setattr(pii_train, "LENGTH", 128)
     texts = [f"The crew left {i} sacks. Tel: 020 7946 0{i:03d}. Nobody called." for i in range(120)]
     seen = []
-    pii_train.train(texts, epochs=8, batch=16, rate=2e-2, log=lambda s, **_: seen.append(float(re.search(r"loss ([\d.]+)", s).group(1))))
+    pii_train.train(texts, epochs=8, batch=8, workers=2, made=0.0, rate=2e-2, log=lambda s, *_, **__: seen.append(float(re.search(r"loss ([\d.]+)", s).group(1))))
     assert seen[-1] < seen[0] / 3 and (tmp_path / "m.npz").exists()
 
 
@@ -170,10 +170,12 @@ def test_gradients_are_right():
 
     rng = np.random.default_rng(3)
     w = {k: v.astype(np.float64) for k, v in pii_train.start(rng).items()}
-    x, y = rng.integers(1, 90, (3, 16)), rng.integers(0, 3, (3, 16)).astype(np.int8)
+    x, y = rng.integers(1, 90, (3, 16)), np.zeros((3, 16), np.int8)
+    y[0, 3], y[0, 4:7], y[1, 0], y[2, 12], y[2, 13:] = 1, 2, 3, 5, 6
+    x[1, 12:] = 0
     w32 = {k: v.astype(np.float32) for k, v in w.items()}
     _, g = pii_train.gradients(w32, x, y)
-    for k in ("u_f", "u_b", "out", "in1_f"):
+    for k in ("u_f", "u_b", "out", "in1_f", "trans"):
         i = np.unravel_index(np.abs(g[k]).argmax(), g[k].shape)
         up, down = ({**w32, k: w32[k].copy()} for _ in range(2))
         up[k][i] += 1e-2
@@ -202,4 +204,52 @@ def test_search_around_open_characters_is_the_whole_search():
     for i, t in enumerate(texts):
         c = pii_model.classes(t)[:512]
         x[i, : len(c)] = c
-    assert (pii_model.tag(w, x) == pii_model.decode(pii_model.emissions(w, x), w["trans"])).all()
+    e = pii_model.emissions(w, x)
+    e[x == 0] = [0, *[-1e4] * (pii_model.TAGS - 1)]
+    assert (pii_model.tag(w, x) == pii_model.decode(e, w["trans"])).all()
+
+
+def test_what_is_left_out_of_the_search_is_outside_of_every_best_path():
+    """Random scores and transitions, with weak bridges between strong characters; the shortened search is the whole one."""
+    from tidewright.llm.pii_train import ALLOWED
+
+    share = []
+    for seed in range(120):
+        r = np.random.default_rng(seed)
+        e = r.normal(0, 1.5, (4, 60, pii_model.TAGS)).astype(np.float32)
+        e[:, :, 0] += r.uniform(0, 6) + (r.random((4, 60)) < 0.8) * r.uniform(0, 4)
+        k = r.integers(1, 11)
+        e[:, 10:13, k] += 8
+        e[:, 13:43, k] = e[:, 13:43, 0] - r.uniform(0, 0.5)
+        e[:, 43:46, k] += 8
+        t = np.where(ALLOWED, r.normal(0, r.uniform(0.1, 2), ALLOWED.shape), -1e4).astype(np.float32)
+        whole, out = pii_model.decode(e, t), pii_model.outside(e, t)
+        assert not whole[out].any()
+        some = [(i, a, e[i, a:b].copy()) for i, a, b in zip(*(f.tolist() for f in pii_model.stretches(~out)))]
+        tags = np.zeros(whole.shape, np.int8)
+        for (i, a, _), got in zip(some, pii_model.search(some, t)):
+            tags[i, a : a + len(got)] = got
+        # the constant bridges make ties, which rounding decides: equally good is the same
+        score = lambda i, p: e[i, np.arange(60), p].sum(dtype=np.float64) + t[np.r_[0, p], np.r_[p, 0]].sum(dtype=np.float64)
+        assert all(score(i, tags[i]) == pytest.approx(score(i, whole[i]), abs=1e-3) for i in range(4))
+        share.append(out.mean())
+    assert np.mean(share) > 0.05
+
+
+def test_sentences_from_elsewhere():
+    """Hand-labelled sentences that neither the generator of training text nor the tables have; the README has the figures."""
+    from pii_hand import labelled
+
+    lines = labelled()
+    got = pii.find([t for t, _ in lines], pii_model.load())
+    a, b = {(i, s, k) for i, f in enumerate(got) for s, _, k in f}, {(i, s, k) for i, (_, f) in enumerate(lines) for s, k in f}
+    assert len(a & b) >= 0.65 * len(b) and len(a & b) >= 0.8 * len(a)
+
+
+def test_training_text_is_disjoint_from_the_tables():
+    from tidewright.llm import pii_text
+
+    m = pii_text.Maker(3)
+    made = [m.fill(pii_text.document(m)) for _ in range(100)] + [m.fill(pii_text.template(TEXT)) for _ in range(20)]
+    assert not any(re.search(rf"{pii_labels.SURNAME}|{pii_labels.STREET}|7946", t) for t, _ in made)
+    assert sum(len(f) for _, f in made) > 200 and all(t[a:b].strip() for t, f in made for a, b, _ in f)

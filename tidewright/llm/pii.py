@@ -27,15 +27,7 @@ from .pii_labels import TYPES
 #: Windows that go through the tagger at once.
 BATCH = 512
 PLACEHOLDERS = {t: f"[{t.upper()}]" for t in TYPES}
-#: What stands before a name and is no part of it: titles and the words of greetings and headings.
-_TITLE = re.compile(r"(?:(?:hi|hello|dear|saludos|regards|cordialement|grüßen|driver|fahrer|an|bei|by|with|ist|contact|contacto|attn|mr|mrs|ms|miss|dr|prof|capt|captain|herr|frau|mme|mlle|sr|sra|señor|señora)[.,:]?\s+)+", re.I)
-_NUMBER = re.compile(r"(?:\d+\s?[A-Za-z]?(?:\s?-\s?\d+)?|\d+\s+(?:bis|ter)),?\s+$")
-_TYPE_WORD = re.compile(r"(?:\b(?:rue|quai|avenue|boulevard|place|chemin|impasse|allée|calle|avenida|plaza|paseo|camino|am|an der|im|zum|zur)\s+(?:de\s+|du\s+|des\s+)?|\bC/\s*)$", re.I)
-_INITIALS = re.compile(r"(?<![^\W_])(?:[^\W\d_]\.\s*)+$")
-_BETWEEN_EMAILS = re.compile(r"\s*[;,]\s*")
-_TO_ADDRESS = re.compile(r"(?:(?:at|to|bei|au|en|address|adresse|lieferadresse)[.,:]?\s+)+", re.I)
-_RANGE = re.compile(r"(?<!\d)\d+\s?-\s?$")
-_SIGN = re.compile(r"@|\bat\b|arroba", re.I)
+_BETWEEN_EMAILS = re.compile(r"\s*[;,]\s*(?=\S*(?:@|\s?[\[(]))")
 
 
 def fit_to_words(text: str, a: int, b: int, kind: str) -> tuple[int, int] | None:
@@ -52,10 +44,6 @@ def fit_to_words(text: str, a: int, b: int, kind: str) -> tuple[int, int] | None
             a -= 1
         while b < n and text[b].isalpha() and b > a:
             b += 1
-        if m := _TITLE.match(text, a, b):
-            a = m.end()
-        if m := _INITIALS.search(text[max(0, a - 12) : a]):
-            a = max(0, a - 12) + m.start()
         return (a, b) if any(c.isalpha() for c in text[a:b]) and b - a > 1 else None
     if kind == "email":
         while a > 0 and (text[a - 1].isalnum() or text[a - 1] in "._+-"):
@@ -64,7 +52,7 @@ def fit_to_words(text: str, a: int, b: int, kind: str) -> tuple[int, int] | None
             a += 1
         while b < n and (text[b].isalnum() or (text[b] in ".-_" and b + 1 < n and text[b + 1].isalnum())):
             b += 1
-        return (a, b) if _SIGN.search(text, a, b) else None
+        return (a, b)
     if kind == "phone":
         while a < b and not (text[a].isdigit() or text[a] in "+("):
             a += 1
@@ -87,14 +75,6 @@ def fit_to_words(text: str, a: int, b: int, kind: str) -> tuple[int, int] | None
         a -= 1
     while b < n and text[b].isalnum():
         b += 1
-    if m := _TO_ADDRESS.match(text, a, b):
-        a = m.end()
-    if m := _RANGE.search(text, max(0, a - 8), a):
-        a = m.start()
-    if m := _TYPE_WORD.search(text, max(0, a - 24), a):
-        a = m.start()
-    if not text[a : a + 1].isdigit() and (m := _NUMBER.search(text[max(0, a - 16) : a])):
-        a = max(0, a - 16) + m.start()
     return (a, b) if any(c.isalpha() for c in text[a:b]) else None
 
 

@@ -1,9 +1,10 @@
 """A character-level bidirectional LSTM with CRF transitions, in numpy.
 
 A step reads `CHARS` characters, each through a table of its own place, and gives scores for all of them, so the
-tags stay on characters while the recurrence is shorter. Gates and cells are clipped lines in place of sigmoids
-and hyperbolic tangents, which numpy does many times faster. Tags are O and, for each type, the first character and a further
-one. The transitions hold the log frequencies seen in training, and forbid to go on with what has not begun.
+tags stay on characters while the recurrence is shorter. Gates and cells are clipped lines (hard sigmoids and hard
+tangents), which numpy does many times faster. Tags are O and, for each type, the first character and a further one. The
+transitions are fitted together with the rest by the likelihood of whole tag sequences, and forbid to go on with what
+has not begun. The search for the best sequence leaves out only characters that are proven to be O in it (`outside`).
 """
 
 from __future__ import annotations
@@ -114,7 +115,7 @@ def emissions(w: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
 
 
 def decode(e: np.ndarray, trans: np.ndarray) -> np.ndarray:
-    """The best tags (windows, characters) by the Viterbi algorithm."""
+    """The best tags (windows, characters) by the Viterbi algorithm; O stands before the first and after the last character."""
     n, length, k = e.shape
     score, back = e[:, 0] + trans[0][None], np.empty((length, n, k), np.int8)
     for t in range(1, length):
@@ -122,42 +123,66 @@ def decode(e: np.ndarray, trans: np.ndarray) -> np.ndarray:
         back[t] = s.argmax(axis=1)
         score = np.take_along_axis(s, back[t][:, None].astype(np.int64), 1)[:, 0] + e[:, t]
     tags = np.empty((n, length), np.int8)
-    tags[:, -1] = score.argmax(axis=1)
+    tags[:, -1] = (score + trans[:, 0]).argmax(axis=1)
     rows = np.arange(n)
     for t in range(length - 1, 0, -1):
         tags[:, t - 1] = back[t][rows, tags[:, t]]
     return tags
 
 
-#: Characters around an open one that are searched with it; see stretches().
-MARGIN = 12
+def outside(e: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """Characters (windows, characters) that are O on every best path, so that the search may be cut there.
+
+    Scores count from O: e' = e - e[O], t' = trans - trans[O, O]. A character is closed when each other tag loses m > 0
+    there, after any gain of a transition. Let a path have another tag at a closed character c, and set to O what it
+    has between the borders l and r of c's run of closed characters. This wins the m of what is set, and can lose: at a
+    mention's end inside the run `tail`; where the mention comes from before l, `head`, a transition to O; where it goes
+    on past r, the cost of beginning anew at r + 1, which is known from the scores there. If what is won is more in each
+    of the four cases (from c alone, from l to c, from c to r, from l to r), no best path has another tag at c.
+    """
+    t = trans - trans[0, 0]
+    first, further = np.arange(1, TAGS, 2), np.arange(2, TAGS, 2)
+    allowed = t > -1e3
+    g = max(0.0, float(t[allowed].max()))
+    tail, head = max(0.0, float(t[:, 0].max())), max(0.0, -float(t[:, 0].min()))
+    after = allowed[first]
+    change = min(0.0, float((t[first] - t[further])[after & allowed[further]].min()))
+    again = g - float(t[0, first].min()) - change
+    d = e - e[:, :, :1]
+    m = -d[:, :, 1:].max(axis=2) - g
+    n, length = m.shape
+    closed = m > tail
+    won = np.concatenate([np.zeros((n, 1)), np.cumsum(np.where(closed, np.minimum(m, 1e4), 0), axis=1, dtype=np.float64)], axis=1)
+    at = np.arange(length)
+    before = np.maximum.accumulate(np.where(closed, -1, at), axis=1)  # the open character before, or -1
+    behind = np.minimum.accumulate(np.where(closed, length, at)[:, ::-1], axis=1)[:, ::-1]  # the open character behind, or length
+    begin = again + np.maximum(0, (d[:, :, further] - d[:, :, first]).max(axis=2))
+    rows = np.arange(n)[:, None]
+    cost = np.where(behind < length, begin[rows, np.minimum(behind, length - 1)], tail)
+    back = np.where(before >= 0, head, 0)
+    left, right, whole = won[:, 1:] - won[rows, before + 1], won[rows, behind] - won[:, :-1], won[rows, behind] - won[rows, before + 1]
+    eps = 1e-3
+    return closed & (left > back + tail + eps) & (right > cost + eps) & (whole > back + cost + eps)
 
 
 def stretches(open_: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(window, start, end) of the open characters with MARGIN around them, joined where they meet."""
-    n, length = open_.shape
+    """(window, start, end) of the runs of open characters."""
     row, at = np.nonzero(open_)
     if not len(row):
         return row, at, at
-    lo, hi = np.maximum(at - MARGIN, 0), np.minimum(at + MARGIN + 1, length)
-    new = np.r_[True, (row[1:] != row[:-1]) | (lo[1:] > hi[:-1])]
-    first = np.flatnonzero(new)
-    return row[first], lo[first], hi[np.r_[first[1:] - 1, len(at) - 1]]
+    first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1)])
+    return row[first], at[first], at[np.r_[first[1:] - 1, len(at) - 1]] + 1
 
 
 Stretch = tuple[int, int, np.ndarray]
 
 
 def opened(w: dict[str, np.ndarray], x: np.ndarray) -> list[Stretch]:
-    """(window, start, scores) of the stretches of the windows x that may hold mentions.
-
-    A character is open unless it prefers O by more than a transition can give back. Away from open characters
-    every path through another tag loses at each step, by far more in MARGIN steps than one mention could gain.
-    """
-    e, trans = emissions(w, x), w["trans"]
-    gain = max(0.0, float((trans - trans[0, 0]).max()))
-    found = stretches(e[:, :, 0] - e[:, :, 1:].max(axis=2) <= gain)
-    return [(r, a, e[r, a:b].copy()) for r, a, b in zip(*(f.tolist() for f in found))]
+    """(window, start, scores) of the stretches of the windows x outside of which every best path has O."""
+    e = emissions(w, x)
+    e[:, :, 1:][x == 0] = -1e4
+    e[:, :, 0][x == 0] = 0
+    return [(r, a, e[r, a:b].copy()) for r, a, b in zip(*(f.tolist() for f in stretches(~outside(e, w["trans"]))))]
 
 
 def search(some: list[Stretch], trans: np.ndarray, most: int = 8192) -> list[np.ndarray]:

@@ -1,36 +1,38 @@
-"""Trains the tagger of problem 8:  python -m tidewright.llm.pii_train DOCUMENTS.parquet[,MORE.parquet] [epochs [warm]]
+"""Trains the tagger of problem 8:  python -m tidewright.llm.pii_train DOCUMENTS.parquet[,MORE.parquet] [epochs [minutes [warm]]]
 
-At most `DOCS` documents are read, labelled by pii_labels; a tenth of them is held out and measured on. Every
-parameter is fitted by Adam on the cross entropy of the characters' tags, with back-propagation through time; the
-transitions are the log frequencies of the labels.
+At most `DOCS` documents are read and serve as templates, which pii_text fills with made names, streets and numbers anew
+in every epoch, beside made documents. All parameters, the transitions among them, are fitted by Adam on the likelihood
+of whole tag sequences (forward and backward over the CRF), with back-propagation through time; every process answers
+with the gradients of its part of a batch.
 """
 
 from __future__ import annotations
 
+import os
 import sys
 import time
 
+os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")  # processes share the cores, not threads
+
 import numpy as np
 
 from . import pii_model as M
 from .pii_labels import TYPES, spans
+from .pii_text import Maker, document, template
 
 DOCS = 20_000
 #: Characters of a training window.
 LENGTH = 256
 
 
-def labelled(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(classes, tags) of each text."""
-    out = []
-    for t in texts:
-        y = np.zeros(len(t), np.int8)
-        for a, b, kind in spans(t):
-            k = 1 + 2 * TYPES.index(kind)
-            y[a:b] = k + 1
-            y[a] = k
-        out.append((M.classes(t), y))
-    return out
+def classed(text: str, found: list[tuple[int, int, str]]) -> tuple[np.ndarray, np.ndarray]:
+    """(classes, tags) of a text and its mentions."""
+    y = np.zeros(len(text), np.int8)
+    for a, b, kind in found:
+        k = 1 + 2 * TYPES.index(kind)
+        y[a:b] = k + 1
+        y[a] = k
+    return M.classes(text), y
 
 
 _LOWER = np.arange(M.CLASSES)
@@ -59,21 +61,25 @@ def windows(docs: list[tuple[np.ndarray, np.ndarray]], rng: np.random.Generator
             wx, wy = np.zeros(LENGTH, np.int16), np.zeros(LENGTH, np.int8)
             part = x[max(s, 0) : s + LENGTH]
             wx[: len(part)], wy[: len(part)] = part, y[max(s, 0) : s + LENGTH]
+            if wy[0] and wy[0] % 2 == 0:  # the rest of a mention that begins before the window is no mention
+                cut = int(np.argmin(wy == wy[0])) if (wy != wy[0]).any() else LENGTH
+                wx[:cut], wy[:cut] = 0, 0
             xs.append(wx)
             ys.append(wy)
     x, y = np.stack(xs), np.stack(ys)
     return x, y, (y > 0).any(axis=1)
 
 
-def transitions(y: np.ndarray) -> np.ndarray:
-    n = np.ones((M.TAGS, M.TAGS))
-    np.add.at(n, (y[:, :-1].ravel(), y[:, 1:].ravel()), 1)
-    t = np.log(n / n.sum(axis=1, keepdims=True))
-    for k in range(2, M.TAGS, 2):  # a further character follows its own type only
-        for j in range(M.TAGS):
-            if j not in (k - 1, k):
-                t[j, k] = -1e4
-    return t.astype(np.float32)
+def _allowed() -> np.ndarray:
+    """Transitions that may be: a further character follows its own type only."""
+    ok = np.ones((M.TAGS, M.TAGS), bool)
+    for k in range(2, M.TAGS, 2):
+        ok[:, k] = False
+        ok[[k - 1, k], k] = True
+    return ok
+
+
+ALLOWED = _allowed()
 
 
 def start(rng: np.random.Generator) -> dict[str, np.ndarray]:
@@ -85,7 +91,7 @@ def start(rng: np.random.Generator) -> dict[str, np.ndarray]:
             w[f"in{k}_{s}"][:, : 3 * h] += 0.5 / M.CHARS
             w[f"in{k}_{s}"][:, h : 2 * h] += 0.3 / M.CHARS  # forget little at first
         w[f"u_{s}"] = rng.normal(0, 1 / np.sqrt(h), (h, 4 * h)) * 0.4
-    w["out"], w["bias"] = rng.normal(0, 0.1, (2 * h, M.CHARS * M.TAGS)), np.zeros(M.CHARS * M.TAGS)
+    w["out"], w["bias"], w["trans"] = rng.normal(0, 0.1, (2 * h, M.CHARS * M.TAGS)), np.zeros(M.CHARS * M.TAGS), np.where(ALLOWED, 0, -1e4)
     return {k: v.astype(np.float32) for k, v in w.items()}
 
 
@@ -108,6 +114,47 @@ def _back(dh: np.ndarray, kept: list, u: np.ndarray) -> tuple[np.ndarray, np.nda
     return dz, du
 
 
+def likelihood(e: np.ndarray, trans: np.ndarray, gold: np.ndarray, real: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Negative log likelihood of the gold tags (steps, windows), and its derivatives by scores and transitions; forward and backward, scaled at every step."""
+    steps, n, k = e.shape
+    top = e.max(axis=2, keepdims=True)
+    psi = np.exp(e - top)
+    psi[~real] = 0
+    psi[~real, 0] = 1
+    t = np.exp(np.where(ALLOWED, trans, -1e4)).astype(np.float32)
+    alpha, c, beta = np.empty_like(psi), np.empty((steps, n, 1), np.float32), np.ones_like(psi)
+    a = np.broadcast_to(t[0], (n, k)) * psi[0]
+    for i in range(steps):
+        if i:
+            a = (a @ t) * psi[i]
+        c[i] = a.sum(axis=1, keepdims=True)
+        a = a / c[i]
+        alpha[i] = a
+    end = (alpha[-1] * t[:, 0]).sum(axis=1, keepdims=True)
+    after = psi / c
+    b = np.broadcast_to(t[:, 0], (n, k)) / end
+    beta[-1] = b
+    for i in range(steps - 1, 0, -1):
+        b = (after[i] * b) @ t.T
+        beta[i - 1] = b
+    marginal = alpha * beta
+    flow = (after * beta)[1:].reshape(-1, k)
+    expected = (alpha[:-1].reshape(-1, k).T @ flow) * t
+    expected[0] += (t[0] * after[0] * beta[0]).sum(axis=0)
+    expected[:, 0] += (alpha[-1] * t[:, 0] / end).sum(axis=0)
+    seen = np.zeros((k, k), np.float32)
+    np.add.at(seen, (gold[:-1].ravel(), gold[1:].ravel()), 1)
+    np.add.at(seen[0], gold[0], 1)
+    np.add.at(seen[:, 0], gold[-1], 1)
+    at = np.take_along_axis(e, gold[..., None], 2)[..., 0]
+    z = float(np.log(c).sum() + np.log(end).sum() + (top[..., 0] * real).sum())
+    loss = z - float((at * real).sum()) - float((seen * np.where(ALLOWED, trans, 0)).sum())
+    d = marginal
+    np.put_along_axis(d, gold[..., None], np.take_along_axis(d, gold[..., None], 2) - 1, 2)
+    d[~real] = 0
+    return loss, d.astype(np.float32), np.where(ALLOWED, expected - seen, 0).astype(np.float32)
+
+
 def gradients(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
     kept = {"f": [], "b": []}
     index = [np.ascontiguousarray(x[:, k :: M.CHARS].T.astype(np.int64)) for k in range(M.CHARS)]
@@ -115,18 +162,10 @@ def gradients(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> tuple[f
     h = np.concatenate(hs, axis=2)
     steps, n = h.shape[:2]
     e = (h.reshape(-1, 2 * M.HIDDEN) @ w["out"] + w["bias"]).reshape(steps, n, M.CHARS, M.TAGS)
-    e -= e.max(axis=3, keepdims=True)
-    p = np.exp(e)
-    p /= p.sum(axis=3, keepdims=True)
-    real = (x > 0).reshape(n, steps, M.CHARS).transpose(1, 0, 2)
-    gold = y.reshape(n, steps, M.CHARS).transpose(1, 0, 2).astype(np.int64)
-    first = (gold % 2 == 1) * 0.5 + 1.0  # where a mention begins counts for more
-    weight = (real * first / real.sum()).astype(np.float32)
-    at = np.take_along_axis(p, gold[..., None], 3)[..., 0]
-    loss = float((-np.log(np.maximum(at, 1e-9)) * weight).sum())
-    np.put_along_axis(p, gold[..., None], (at - 1)[..., None], 3)
-    d = (p * weight[..., None]).reshape(-1, M.CHARS * M.TAGS)
-    g = {"out": h.reshape(-1, 2 * M.HIDDEN).T @ d, "bias": d.sum(axis=0)}
+    by_char = e.transpose(0, 2, 1, 3).reshape(steps * M.CHARS, n, M.TAGS)
+    loss, d, dtrans = likelihood(by_char, w["trans"], np.ascontiguousarray(y.T.astype(np.int64)), np.ascontiguousarray((x > 0).T))
+    d = np.ascontiguousarray(d.reshape(steps, M.CHARS, n, M.TAGS).transpose(0, 2, 1, 3)).reshape(-1, M.CHARS * M.TAGS)
+    g = {"out": h.reshape(-1, 2 * M.HIDDEN).T @ d, "bias": d.sum(axis=0), "trans": dtrans}
     dh = (d @ w["out"].T).reshape(steps, n, 2 * M.HIDDEN)
     for j, s in enumerate("fb"):
         dz, g[f"u_{s}"] = _back(dh[:, :, j * M.HIDDEN : (j + 1) * M.HIDDEN], kept[s], w[f"u_{s}"])
@@ -137,7 +176,7 @@ def gradients(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> tuple[f
             at_ = np.flatnonzero(np.r_[True, np.diff(key[o]) > 0])
             g[f"in{k}_{s}"] = np.zeros_like(w[f"in{k}_{s}"])
             g[f"in{k}_{s}"][key[o][at_]] = np.add.reduceat(flat[o], at_, axis=0)
-    return loss, g
+    return loss / n, {k: a / n for k, a in g.items()}
 
 
 def mentions(y: np.ndarray) -> set[tuple[int, int, int]]:
@@ -145,46 +184,108 @@ def mentions(y: np.ndarray) -> set[tuple[int, int, int]]:
     return set(zip(i.tolist(), j.tolist(), y[i, j].tolist()))
 
 
-def train(texts: list[str], epochs: int = 12, batch: int = 64, rate: float = 8e-3, seed: int = 1, log=print, warm: dict[str, np.ndarray] | None = None) -> dict[str, np.ndarray]:
-    rng = np.random.default_rng(seed)
-    order = rng.permutation(len(texts))
-    held = max(1, len(texts) // 10)
-    vx, vy, _ = windows(labelled([texts[i] for i in order[:held]]))
-    docs = labelled([texts[i] for i in order[held:]])
-    x, y, some = windows(docs)
-    trans = transitions(y)
-    planned = int(some.sum() * 1.5)
-    w = {k: v for k, v in warm.items() if k != "trans" and not k.startswith("pair")} if warm else start(rng)
-    m, v = ({k: np.zeros_like(a) for k, a in w.items()} for _ in range(2))
-    total, done = epochs * (planned // batch), 0
+def packed(w: dict[str, np.ndarray]) -> np.ndarray:
+    return np.concatenate([w[k].ravel() for k in sorted(w)]).astype(np.float32)
+
+
+def unpacked(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    out, at = {}, 0
+    for k in sorted(like):
+        out[k] = flat[at : at + like[k].size].reshape(like[k].shape)
+        at += like[k].size
+    return out
+
+
+def _epoch(templates: list, made: int, seed: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The windows of one pass over the templates, filled anew, and of made documents; of those without mentions no more than twice as many as with."""
+    rng, maker = np.random.default_rng(seed), Maker(seed)
+    docs = [classed(*maker.fill(t)) for t in templates] + [classed(*maker.fill(document(maker))) for _ in range(made)]
+    x, y, some = windows(docs, rng)
+    p = rng.permutation(np.concatenate([np.flatnonzero(some), rng.permutation(np.flatnonzero(~some))[: int(some.sum() * 2)]]))
+    return x[p], y[p]
+
+
+def _work(k: int, texts: list, made: int, epochs: int, seed: int, batch: int, shared, out, size: int, like: dict, pipe) -> None:
+    """A process that keeps a part of the documents and answers with the gradients of its part of each batch."""
+    templates = [template(t) for t in texts]
+    params, grads = np.frombuffer(shared, np.float32), np.frombuffer(out, np.float32)[k * size : (k + 1) * size]
+    for epoch in range(epochs):
+        x, y = _epoch(templates, made, [seed, epoch, k])
+        pipe.send(len(x) // batch)
+        for i in range(pipe.recv()):
+            pipe.recv()
+            loss, g = gradients(unpacked(params, like), x[i * batch : (i + 1) * batch], y[i * batch : (i + 1) * batch])
+            grads[:] = packed(g)
+            pipe.send(loss)
+
+
+def agreement(model: dict[str, np.ndarray], docs: list[tuple[str, list[tuple[int, int, str]]]]) -> tuple[float, float]:
+    """(recall, precision) of the starts of mentions that the finished tagger finds in labelled texts."""
+    from .pii import find
+
+    got = find([t for t, _ in docs], model)
+    a = {(i, s, k) for i, f in enumerate(got) for s, _, k in f}
+    b = {(i, s, k) for i, (_, f) in enumerate(docs) for s, _, k in f}
+    return len(a & b) / max(len(b), 1), len(a & b) / max(len(a), 1)
+
+
+def train(
+    texts: list[str], epochs: int = 12, batch: int = 16, rate: float = 7e-3, seed: int = 1, workers: int = 8, made: float = 0.8, log=print,
+    warm: dict[str, np.ndarray] | None = None, minutes: float = 1e9, checks: dict[str, list] | None = None,
+) -> dict[str, np.ndarray]:
+    """Parameters of the tagger. texts: documents that serve as templates; made: made documents for each of them; checks: labelled texts to report on; minutes: time after which the rate falls to its end."""
+    import multiprocessing as mp
+
+    rng, began = np.random.default_rng(seed), time.time()
+    w = {k: v for k, v in warm.items() if not k.startswith("pair")} if warm else start(rng)
+    flat = packed(w)
+    ctx, size = mp.get_context("fork"), len(flat)
+    shared, out = ctx.RawArray("f", size), ctx.RawArray("f", size * workers)
+    params, grads = np.frombuffer(shared, np.float32), np.frombuffer(out, np.float32).reshape(workers, size)
+    params[:] = flat
+    pipes, procs = [], []
+    for k in range(workers):
+        mine, theirs = ctx.Pipe()
+        part = texts[k::workers]
+        procs.append(ctx.Process(target=_work, args=(k, part, int(made * len(part)), epochs, seed, batch, shared, out, size, w, theirs), daemon=True))
+        procs[-1].start()
+        pipes.append(mine)
+    m, v, done, fixed = np.zeros(size), np.zeros(size), 0, packed({k: (~ALLOWED if k == "trans" else np.zeros(a.shape)) for k, a in w.items()}) > 0
     for epoch in range(epochs):
-        began, losses = time.time(), []
-        x, y, some = windows(docs, rng)
-        p = rng.permutation(np.concatenate([np.flatnonzero(some), rng.permutation(np.flatnonzero(~some))[: int(some.sum() * 0.5)]]))
-        for lo in range(0, len(p) - batch + 1, batch):
-            i = p[lo : lo + batch]
-            loss, g = gradients(w, x[i], y[i])
-            losses.append(loss)
+        steps = min(p.recv() for p in pipes)
+        for p in pipes:
+            p.send(steps)
+        losses = []
+        for i in range(steps):
+            for p in pipes:
+                p.send(0)
+            losses.append(np.mean([p.recv() for p in pipes]))
+            g = grads.mean(axis=0)
             done += 1
-            lr = rate * 0.5 * (1 + np.cos(np.pi * min(done / total, 0.995))) * min(1, done / 50)
-            norm = np.sqrt(sum(float((a * a).sum()) for a in g.values()))
-            for k in w:
-                d = g[k] * min(1, 1 / max(norm, 1e-9))
-                m[k] = 0.9 * m[k] + 0.1 * d
-                v[k] = 0.999 * v[k] + 0.001 * d * d
-                w[k] -= (lr * (m[k] / (1 - 0.9**done)) / (np.sqrt(v[k] / (1 - 0.999**done)) + 1e-8)).astype(np.float32)
-        model = w | {"trans": trans}
-        ready = M.prepared(model)
-        got = np.concatenate([M.tag(ready, vx[lo : lo + 512]) for lo in range(0, len(vx), 512)])
-        a, b = mentions(got), mentions(vy)
-        log(f"epoch {epoch}: loss {np.mean(losses):.5f}, held-out starts recall {len(a & b) / max(len(b), 1):.4f}, precision {len(a & b) / max(len(a), 1):.4f}, {time.time() - began:.0f} s", flush=True)
-        if epoch % 2 == 1 or epoch == epochs - 1:
-            np.savez_compressed(M.FILE, **{k: a.astype(np.float32 if k == "trans" else np.float16) for k, a in model.items()})
-    return w | {"trans": trans}
+            share = max((epoch + i / steps) / epochs, (time.time() - began) / 60 / minutes)
+            lr = rate * 0.5 * (1 + np.cos(np.pi * min(share, 0.995))) * min(1, done / 50)
+            g = g * min(1, 5 / max(float(np.linalg.norm(g)), 1e-9))
+            m = 0.9 * m + 0.1 * g
+            v = 0.999 * v + 0.001 * g * g
+            step = lr * (m / (1 - 0.9**done)) / (np.sqrt(v / (1 - 0.999**done)) + 1e-8)
+            params -= np.where(fixed, 0, step).astype(np.float32)
+        model = {k: a.copy() for k, a in unpacked(params, w).items()}
+        np.savez_compressed(M.FILE, **{k: a.astype(np.float32 if k == "trans" else np.float16) for k, a in model.items()})
+        ready = M.load()
+        log(f"epoch {epoch}: loss {np.mean(losses):.4f}, {steps} steps, {time.time() - began:.0f} s;", "; ".join(f"{n}: recall {r:.4f}, precision {q:.4f}" for n, (r, q) in ((n, agreement(ready, c)) for n, c in (checks or {}).items())), flush=True)
+        if time.time() - began > minutes * 60:
+            break
+    for p in procs:
+        p.terminate()
+    return model
 
 
 if __name__ == "__main__":
     import pyarrow.parquet as pq
 
     docs = [t for p in sys.argv[1].split(",") for t in pq.read_table(p, columns=["text"]).column("text").to_pylist()]
-    train([t for t in docs if t and t.strip()][:DOCS], int(sys.argv[2]) if len(sys.argv) > 2 else 12, warm=M.load() if "warm" in sys.argv else None)
+    docs = list(dict.fromkeys(t for t in docs if t and t.strip()))[:DOCS]
+    held = docs[:: len(docs) // 400 + 1]
+    maker = Maker(12345)
+    looks = {"made": [maker.fill(document(maker)) for _ in range(400)], "templates": [maker.fill(template(t)) for t in held], "documents": [(t, spans(t)) for t in held]}
+    train([t for t in docs if t not in set(held)], int(sys.argv[2]) if len(sys.argv) > 2 else 12, minutes=float(sys.argv[3]) if len(sys.argv) > 3 else 1e9, warm=M.load() if "warm" in sys.argv else None, checks=looks)
