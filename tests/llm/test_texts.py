@@ -100,6 +100,25 @@ def test_leaks_of_repeated_and_short_items(spark):
     assert got == {(1, 0), (1, 1), (1, 2), (2, 3), (2, 4), (2, 5), (2, 6), (3, 9), (4, 11), (5, 12), (7, 13)}
 
 
+def test_leaks_with_changed_words(spark):
+    """Each third word changed: no run of three words is left, but two thirds stand in order; three items that share a passage are all found."""
+    r = random.Random(7)
+    many = ["".join(r.choices("bcdfghklmnprstv", k=2)) + x + y for x in ("ado", "ire", "on", "ule", "ank", "est") for y in ("", "s", "ed", "ing") for _ in range(40)]
+    prose = lambda r, n: " ".join(r.choices(many[:300], k=n // 2) + r.choices(many, k=n - n // 2))
+    items = [prose(r, 90) for _ in range(5)]
+    shared = prose(r, 60)
+    items += [f"{shared} {prose(r, 30)}" for _ in range(3)]
+    its = spark.createDataFrame([(i, "s", "en", t) for i, t in enumerate(items)], "item_id long, suite string, lang string, text string")
+    texts = [prose(r, 150) for _ in range(80)]
+    for d, i in ((2, 0), (3, 1)):
+        changed = [r.choice(many) if k % 3 == d % 3 else w for k, w in enumerate(items[i].split())]
+        texts[d] = f"{prose(r, 60)} {' '.join(changed)} {prose(r, 60)}"
+    texts[4] = f"{prose(r, 60)} {shared} {prose(r, 60)}"
+    want = {(2, 0), (3, 1), (4, 5), (4, 6), (4, 7)}
+    assert {(x["doc_id"], x["item_id"]) for x in evalleak.leaks(docs(spark, texts), its).collect()} == want
+    assert {(x["doc_id"], x["item_id"]) for x in evalleak.leaks(docs(spark, texts), its, at_once=3).collect()} == want
+
+
 def test_best_window_of_all():
     r = random.Random(8)
     ws = r.sample(VOCAB, 60)

@@ -7,10 +7,13 @@ distributed multiplications by the matrix and its transpose over a sample of `FI
 by hash of the id; every passage of every document is then mapped into the whitened latent space and compared
 with the passages of all items, which are a given, small set. A document and an item with a cosine of
 `MIN_COSINE` somewhere are candidates. A candidate is checked on words: the best of all windows of the document, a little
-longer than the item, must hold `MIN_ORDER` of the item's words in the item's order (longest common subsequence),
-and `MIN_RUNS` of the item's runs of three words, those of standard clauses not counted. A run is a clause's if more
-than two different items share it and twice as many documents have it as leaks of these items account for; an item
-that is nearly all clauses is checked on order alone. Equal items are one item until the pairs are listed.
+longer than the item, must hold `MIN_ORDER` of the item's words in the item's order (longest common subsequence).
+Frequent words stand in order by chance, so the answer is checked too: the share of the item's weight (IDF, nothing for
+standard clauses) that a window can have in order, raised where it also has whole runs of three words, must be
+`MIN_WEIGHT`. Upper bounds on both, from the words that document and window have at all, decide what need not be
+aligned. A run is a clause's if more than two different items share it and twice as many documents have it as leaks of
+these items account for; an item that is nearly all clauses is weighed whole. Equal items are one item until the pairs
+are listed. Items are searched for in blocks of `ITEMS_AT_ONCE`, so what goes to the executors is bounded.
 
 Defined results. Null and blank texts, of documents or items, are in no pair. Items under `SHORTEST` words are
 searched for as a whole: they are candidates by their runs too, and those of one or two words must stand as they are. Copies of a document are all listed; repeated ids are listed once for each item. Very
@@ -33,7 +36,13 @@ from ..runtime import cut
 BUCKETS, RANK, EXTRA, STEP = 1 << 14, 128, 16, 20
 #: Documents that the latent space is fitted on, at most.
 FIT_DOCS = 2048
-MIN_COSINE, MIN_ORDER, MIN_RUNS, SHORTEST = 0.55, 0.40, 0.16, 2 * STEP
+MIN_COSINE, MIN_ORDER, SHORTEST = 0.55, 0.40, 2 * STEP
+#: Share of an item's weight in order, with `RUNS` times the share of its runs, that a leak has at least.
+MIN_WEIGHT, RUNS = 0.42, 0.6
+#: Share of its runs from which a short item is a candidate whatever its cosine, and under which an item is nearly all clauses.
+MIN_RUNS = 0.16
+#: Items whose words and latent vectors go to the executors at a time.
+ITEMS_AT_ONCE = 4096
 CHUNK = 256
 #: Characters that misreading swaps, with the one that stands for them.
 LOOKALIKES = {"0": "o", "1": "l", "i": "l", "|": "l", "5": "s", "e": "c", "8": "b", "9": "g", "2": "z"}
@@ -255,6 +264,22 @@ class Items:
         self.run, self.of = flat[o], own[o]
         self.distinct, self.back = np.unique(self.run, return_inverse=True)
         self.ignore_clauses(np.zeros(len(self.distinct), np.int64))
+        self.weigh(np.ones(BUCKETS))
+
+    def weigh(self, idf: np.ndarray) -> None:
+        """Gives every word of every item its weight, those of standard clauses none."""
+        self.weight = []
+        for k, w in enumerate(self.words):
+            x = idf[w & (BUCKETS - 1)].astype(np.float64)
+            if not self.bare[k]:
+                for j in np.flatnonzero(~np.isin(_runs(w), self.kept[k])):
+                    x[j : j + 3] = 0
+            if not x.sum() > 0:
+                x = np.ones(len(w))
+            self.weight.append(x / x.sum())
+        word, of, x = (np.concatenate([*p, np.zeros(0, t)]) for p, t in ((self.words, np.int64), ([np.full(len(w), k) for k, w in enumerate(self.words)], np.int64), (self.weight, np.float64)))
+        o = np.argsort(word, kind="stable")
+        self.word, self.word_of, self.word_weight = word[o], of[o].astype(np.int64), x[o]
 
     def ignore_clauses(self, have: np.ndarray) -> None:
         """Leaves out the runs of standard clauses. have: documents that have each of the distinct runs."""
@@ -284,14 +309,23 @@ class Items:
                 of.append(k)
         return np.concatenate(q).astype(np.float32), np.array(of, np.int64)
 
+    @staticmethod
+    def _hits(keys: np.ndarray, found: np.ndarray) -> np.ndarray:
+        """Where the sorted keys are equal to one of those found."""
+        lo, hi = np.searchsorted(keys, found, "left"), np.searchsorted(keys, found, "right")
+        lo, n = lo[hi > lo], (hi - lo)[hi > lo]
+        return np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+
     def shared_runs(self, words: np.ndarray) -> np.ndarray:
         """Share of each item's runs that the text has, without those of clauses."""
-        r = np.unique(_runs(words))
-        lo, hi = np.searchsorted(self.run, r, "left"), np.searchsorted(self.run, r, "right")
-        lo, n = lo[hi > lo], (hi - lo)[hi > lo]
-        hit = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+        hit = self._hits(self.run, np.unique(_runs(words)))
         return np.bincount(self.of[hit], minlength=len(self.ids)) / self.n_runs
 
+    def shared_weight(self, words: np.ndarray) -> np.ndarray:
+        """Share of each item's weight whose words the text has, in any order."""
+        hit = self._hits(self.word, np.unique(words))
+        return np.bincount(self.word_of[hit], self.word_weight[hit], minlength=len(self.ids))
+
     def stands(self, words: np.ndarray) -> np.ndarray:
         """The items of one or two words that the text has as they are."""
         found = [np.array(self.tiny[n])[np.isin(keys, _grams(words, n))] for n, keys in self.tiny_keys.items()]
@@ -299,26 +333,47 @@ class Items:
 
     def candidates(self, cosines: np.ndarray, runs: np.ndarray, words: np.ndarray) -> np.ndarray:
         """The items to check on words."""
-        enough = runs >= MIN_RUNS
-        near = np.flatnonzero((cosines >= MIN_COSINE) & (enough | self.bare) | self.short & enough)
+        near = np.flatnonzero((cosines >= MIN_COSINE) | self.short & (runs >= MIN_RUNS))
+        if len(near):
+            near = near[(self.shared_weight(words) + RUNS * runs)[near] >= MIN_WEIGHT]
         if not self.tiny_keys:
             return near
         return np.union1d(near[[len(self.words[k]) > 2 for k in near.tolist()]] if len(near) else near, self.stands(words))
 
-    def order(self, k: int, words: np.ndarray) -> tuple[float, int]:
-        """Share of item k's words that the best window of the text has in order, and where the window starts.
-
-        Of shares under `MIN_ORDER`, not always the best. A window must hold `MIN_RUNS` of the item's runs itself: in a
-        long text, turns of phrase from all over it would do otherwise. A window's words that the item has bound what it has in
-        order, and a window n words on has at most n more: windows that neither bound rules out are aligned.
+    def answered(self, k: int, window: np.ndarray) -> bool:
+        """Whether the window has enough of item k's weight in order."""
+        a, x = self.words[k], self.weight[k]
+        need = MIN_WEIGHT - (RUNS * float(np.isin(self.kept[k], _runs(window)).mean()) if len(self.kept[k]) else 0)
+        best = np.zeros(len(a) + 1)
+        for w in window[np.isin(window, a)].tolist():
+            m = a == w
+            best[1:] = np.maximum.accumulate(np.maximum(best[1:], np.where(m, best[:-1] + x, 0)))
+            if best[-1] >= need:
+                return True
+        return need <= 0
+
+    def order(self, k: int, words: np.ndarray, runs: float = 0.0) -> tuple[float, int]:
+        """Share of item k's words that the best window of the text has in order, and where the window starts; 0 when no window is a leak.
+
+        runs: share of the item's runs that the whole text has. Of shares under `MIN_ORDER`, not always the best. A
+        window's words that the item has bound what it has in order, by number and by weight, and a window n words on
+        has at most n more: windows that no bound rules out are aligned.
         """
         a = self.words[k]
         size = int(1.3 * len(a)) + STEP
+        item = a.tolist()
         if len(words) <= size:
-            return common_order(a.tolist(), words.tolist()) / len(a), 0
-        sums = np.concatenate([[0], np.cumsum(np.isin(words, a))])
+            n = common_order(item, words.tolist())
+            return (n / len(a) if n < MIN_ORDER * len(a) or self.answered(k, words) else 0.0), 0
+        o = np.argsort(a, kind="stable")
+        distinct, first = np.unique(a[o], return_index=True)
+        at = np.minimum(np.searchsorted(distinct, words), len(distinct) - 1)
+        has = distinct[at] == words
+        weight = np.concatenate([[0], np.cumsum(np.where(has, np.maximum.reduceat(self.weight[k][o], first)[at], 0))])
+        sums = np.concatenate([[0], np.cumsum(has)])
         bound = np.minimum(sums[size:] - sums[:-size], len(a))
-        at, item, text = np.arange(len(bound)), a.tolist(), words.tolist()
+        bound = np.where(weight[size:] - weight[:-size] + RUNS * runs >= MIN_WEIGHT - 1e-9, bound, 0)
+        at, text = np.arange(len(bound)), words.tolist()
         best, where = 0, 0
         while True:
             lo = int(np.argmax(bound))
@@ -326,7 +381,7 @@ class Items:
                 return best / len(a), where
             n = common_order(item, text[lo : lo + size])
             bound = np.minimum(bound, n + np.abs(at - lo))
-            if n > best and (self.bare[k] or np.isin(self.kept[k], _runs(words[lo : lo + size])).mean() >= MIN_RUNS):
+            if n > best and n >= MIN_ORDER * len(a) and self.answered(k, words[lo : lo + size]):
                 best, where = n, lo
             else:
                 bound[lo] = min(n, best)
@@ -360,7 +415,7 @@ def _search(shared):
                             continue
                         runs = items.shared_runs(w)
                         for k in items.candidates(cos, runs, w).tolist():
-                            share, where = items.order(k, w)
+                            share, where = items.order(k, w, float(runs[k]))
                             if share >= MIN_ORDER:
                                 out += [(i, one, float(cos[k]), float(runs[k]), share, where) for one in items.ids[k]]
             cols = list(zip(*out)) or [()] * 6
@@ -370,17 +425,34 @@ def _search(shared):
     return run
 
 
-def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, item_id, cosine, runs, in_order, first_word): every document and the items that leaked into it.
+_LEAKS = "doc_id long, item_id long, cosine double, runs double, in_order double, first_word long"
 
-    items: a held-out set, small by nature; it is read on the driver and sent to the executors.
-    """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("text").rlike(r"\S"))
-    held = Items([tuple(r) for r in items.select(F.col("item_id").cast("long"), "text").filter("text is not null").orderBy("item_id").collect()])
+
+def _block(docs: DataFrame, items: DataFrame) -> DataFrame:
+    held = Items([tuple(r) for r in items.orderBy("item_id").collect()])
     n_docs, df, have = frequencies(docs, held.distinct)
     held.ignore_clauses(have)
+    held.weigh(np.log((n_docs + 1) / (df + 1)))
     shared = docs.sparkSession.sparkContext.broadcast((fit(docs, n_docs, df), held))
-    return docs.mapInArrow(_search(shared), "doc_id long, item_id long, cosine double, runs double, in_order double, first_word long")
+    return docs.mapInArrow(_search(shared), _LEAKS)
+
+
+def leaks(docs: DataFrame, items: DataFrame, at_once: int = ITEMS_AT_ONCE) -> DataFrame:
+    """(doc_id, item_id, cosine, runs, in_order, first_word): every document and the items that leaked into it.
+
+    items: the stated query set; each block of about `at_once` of them, by hash of the text so that equal items stay
+    together, is read on the driver, sent to the executors and held against all documents.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("text").rlike(r"\S"))
+    items = items.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null")
+    blocks = max(1, -(-items.count() // at_once))
+    if blocks == 1:
+        return _block(docs, items)
+    out = None
+    for b in range(blocks):
+        one = cut(_block(docs, items.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b)))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def leaked_items(found: DataFrame) -> DataFrame:
