@@ -39,6 +39,7 @@ FIT_DOCS = 2048
 MIN_COSINE, MIN_ORDER, SHORTEST = 0.55, 0.40, 2 * STEP
 #: Share of an item's weight in order, with `RUNS` times the share of its runs, that a leak has at least.
 MIN_WEIGHT, RUNS = 0.42, 0.6
+LIGHT = 0.10
 #: Share of its runs from which a short item is a candidate whatever its cosine, and under which an item is nearly all clauses.
 MIN_RUNS = 0.16
 #: Items whose words and latent vectors go to the executors at a time.
@@ -226,18 +227,27 @@ def _grams(w: np.ndarray, n: int) -> np.ndarray:
     return w if n == 1 else w[:-1] << np.uint64(32) | w[1:]
 
 
-def common_order(a: list[int], b: list[int]) -> int:
-    """Length of the longest common subsequence, by bit-parallel addition."""
+def masks(a: list[int]) -> dict[int, int]:
+    """The places of each word of a, as bits."""
     at: dict[int, int] = {}
     for k, w in enumerate(a):
         at[w] = at.get(w, 0) | 1 << k
-    full = (1 << len(a)) - 1
-    v = full
-    for w in b:
-        if m := at.get(w):
-            u = v & m
-            v = (v + u | v - u) & full
-    return len(a) - v.bit_count()
+    return at
+
+
+def aligned(n: int, found: list[int]) -> int:
+    """Length of the longest common subsequence of n words and a text, of which the masks of the words in both are given; by bit-parallel addition."""
+    v = full = (1 << n) - 1
+    for m in found:
+        u = v & m
+        v = (v + u | v - u) & full
+    return n - v.bit_count()
+
+
+def common_order(a: list[int], b: list[int]) -> int:
+    """Length of the longest common subsequence."""
+    at = masks(a)
+    return aligned(len(a), [at[w] for w in b if w in at])
 
 
 class Items:
@@ -268,7 +278,7 @@ class Items:
 
     def weigh(self, idf: np.ndarray) -> None:
         """Gives every word of every item its weight, those of standard clauses none."""
-        self.weight = []
+        self.weight, self.bags = [], []
         for k, w in enumerate(self.words):
             x = idf[w & (BUCKETS - 1)].astype(np.float64)
             if not self.bare[k]:
@@ -276,10 +286,22 @@ class Items:
                     x[j : j + 3] = 0
             if not x.sum() > 0:
                 x = np.ones(len(w))
-            self.weight.append(x / x.sum())
+            x = x / x.sum()
+            self.weight.append(x)
+            distinct, which, many = np.unique(w, return_inverse=True, return_counts=True)
+            heavy = np.zeros(len(distinct))
+            np.maximum.at(heavy, which, x)
+            by_word = masks(w.tolist())
+            light = heavy * many
+            o = np.argsort(light, kind="stable")
+            light[o] = np.cumsum(light[o])
+            light = light <= LIGHT  # the lightest words, LIGHT of the weight together
+            x = np.sort(x[~light[which]])[::-1]
+            self.bags.append((distinct, many, heavy, [by_word[d] for d in distinct.tolist()], light, 1 - x.sum() + np.concatenate([[0], np.cumsum(x)])))
         word, of, x = (np.concatenate([*p, np.zeros(0, t)]) for p, t in ((self.words, np.int64), ([np.full(len(w), k) for k, w in enumerate(self.words)], np.int64), (self.weight, np.float64)))
         o = np.argsort(word, kind="stable")
         self.word, self.word_of, self.word_weight = word[o], of[o].astype(np.int64), x[o]
+        self.length = np.array([len(w) for w in self.words])
 
     def ignore_clauses(self, have: np.ndarray) -> None:
         """Leaves out the runs of standard clauses. have: documents that have each of the distinct runs."""
@@ -321,10 +343,11 @@ class Items:
         hit = self._hits(self.run, np.unique(_runs(words)))
         return np.bincount(self.of[hit], minlength=len(self.ids)) / self.n_runs
 
-    def shared_weight(self, words: np.ndarray) -> np.ndarray:
-        """Share of each item's weight whose words the text has, in any order."""
+    def shared_words(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Shares of each item's weight and words that the text has, in any order."""
         hit = self._hits(self.word, np.unique(words))
-        return np.bincount(self.word_of[hit], self.word_weight[hit], minlength=len(self.ids))
+        of, n = self.word_of[hit], len(self.ids)
+        return np.bincount(of, self.word_weight[hit], n), np.bincount(of, minlength=n) / self.length
 
     def stands(self, words: np.ndarray) -> np.ndarray:
         """The items of one or two words that the text has as they are."""
@@ -335,7 +358,8 @@ class Items:
         """The items to check on words."""
         near = np.flatnonzero((cosines >= MIN_COSINE) | self.short & (runs >= MIN_RUNS))
         if len(near):
-            near = near[(self.shared_weight(words) + RUNS * runs)[near] >= MIN_WEIGHT]
+            weight, share = self.shared_words(words)
+            near = near[((weight + RUNS * runs >= MIN_WEIGHT - 1e-9) & (share >= MIN_ORDER))[near]]
         if not self.tiny_keys:
             return near
         return np.union1d(near[[len(self.words[k]) > 2 for k in near.tolist()]] if len(near) else near, self.stands(words))
@@ -352,39 +376,62 @@ class Items:
                 return True
         return need <= 0
 
+    def _bounds(self, k: int, at: np.ndarray, pos: np.ndarray, size: int, n: int, runs: float) -> np.ndarray:
+        """For each of n windows of `size` words the number of item k's words that it has in any order; 0 where their weight is too little.
+
+        at, pos: the words of the text that the item has, and where they stand. A word that the item has m times counts
+        in the windows that begin after its m-th last occurrence.
+        """
+        many, heavy = self.bags[k][1:3]
+        o = np.argsort(at, kind="stable")
+        at, pos = at[o], pos[o]
+        back = np.arange(len(at)) - many[at]
+        same = (back >= 0) & (at[back] == at)
+        lo = np.maximum(np.where(same, pos[back] + 1, 0), np.maximum(pos - size + 1, 0))
+        hi = np.minimum(pos, n - 1) + 1
+        some = lo < hi
+        lo, hi, x = lo[some], hi[some], heavy[at[some]]
+        count = np.cumsum(np.bincount(lo, minlength=n + 1) - np.bincount(hi, minlength=n + 1))[:n]
+        weight = np.cumsum(np.bincount(lo, x, n + 1) - np.bincount(hi, x, n + 1))[:n]
+        return np.where(weight + RUNS * runs >= MIN_WEIGHT - 1e-9, count, 0)
+
     def order(self, k: int, words: np.ndarray, runs: float = 0.0) -> tuple[float, int]:
         """Share of item k's words that the best window of the text has in order, and where the window starts; 0 when no window is a leak.
 
-        runs: share of the item's runs that the whole text has. Of shares under `MIN_ORDER`, not always the best. A
-        window's words that the item has bound what it has in order, by number and by weight, and a window n words on
-        has at most n more: windows that no bound rules out are aligned.
+        runs: share of the item's runs that the whole text has. What a window has of the item's words bounds what it
+        has in order; so does what a stretch of twice its length has of the heavier words in order, whose number bounds
+        their weight; and a window n words on has at most n more. Windows that no bound rules out are aligned.
         """
         a = self.words[k]
-        size = int(1.3 * len(a)) + STEP
-        item = a.tolist()
-        if len(words) <= size:
-            n = common_order(item, words.tolist())
-            return (n / len(a) if n < MIN_ORDER * len(a) or self.answered(k, words) else 0.0), 0
-        o = np.argsort(a, kind="stable")
-        distinct, first = np.unique(a[o], return_index=True)
+        distinct, _, _, mask, light, most = self.bags[k]
+        least, size = MIN_ORDER * len(a), min(int(1.3 * len(a)) + STEP, len(words))
+        n = len(words) - size + 1
         at = np.minimum(np.searchsorted(distinct, words), len(distinct) - 1)
-        has = distinct[at] == words
-        weight = np.concatenate([[0], np.cumsum(np.where(has, np.maximum.reduceat(self.weight[k][o], first)[at], 0))])
-        sums = np.concatenate([[0], np.cumsum(has)])
-        bound = np.minimum(sums[size:] - sums[:-size], len(a))
-        bound = np.where(weight[size:] - weight[:-size] + RUNS * runs >= MIN_WEIGHT - 1e-9, bound, 0)
-        at, text = np.arange(len(bound)), words.tolist()
+        pos = np.flatnonzero(distinct[at] == words)
+        at = at[pos]
+        bound = self._bounds(k, at, pos, size, n, runs)
+        heavy = ~light[at]
+        heavy_pos, heavy_mask = pos[heavy], [mask[j] for j in at[heavy].tolist()]
+        for lo in range(0, n, size):
+            if bound[lo : lo + size].max() >= least:
+                i, j = np.searchsorted(heavy_pos, (lo, min(lo + size, n) + size - 1))
+                if most[aligned(len(a), heavy_mask[i:j])] + RUNS * runs < MIN_WEIGHT - 1e-9:
+                    bound[lo : lo + size] = 0
+        if bound.max() < least:
+            return 0.0, 0
+        found, far = [mask[j] for j in at.tolist()], np.arange(n)
         best, where = 0, 0
         while True:
             lo = int(np.argmax(bound))
-            if bound[lo] <= best or bound[lo] < MIN_ORDER * len(a):
+            if bound[lo] <= best or bound[lo] < least:
                 return best / len(a), where
-            n = common_order(item, text[lo : lo + size])
-            bound = np.minimum(bound, n + np.abs(at - lo))
-            if n > best and n >= MIN_ORDER * len(a) and self.answered(k, words[lo : lo + size]):
-                best, where = n, lo
+            i, j = np.searchsorted(pos, (lo, lo + size))
+            c = aligned(len(a), found[i:j])
+            bound = np.minimum(bound, c + np.abs(far - lo))
+            if c > best and c >= least and self.answered(k, words[lo : lo + size]):
+                best, where = c, lo
             else:
-                bound[lo] = min(n, best)
+                bound[lo] = min(c, best)
 
 
 def _search(shared):
