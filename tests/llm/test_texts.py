@@ -45,6 +45,9 @@ def test_packing_keeps_every_token(spark):
     assert {d for d, xs in per_doc.items() if any(x["cut"] for x in xs)} == {d for d, s in enumerate(sizes) if s > 100}
     assert all(len(xs) == -(-sizes[d] // 100) for d, xs in per_doc.items())
     rest = np.array([s % 100 for s in sizes if s % 100])
+    report, certs = packing.containers(packing.pack(df, 100), 100).first(), packing.certificates(packing.pack(df, 100)).collect()
+    assert report["containers"] == len(per_bin) and report["gap"] == len(per_bin) - report["bound"] >= 0 and report["bound"] == packing.lower_bound(np.array([x["tokens"] for x in got]), 100)
+    assert certs and all(r["bound"] <= r["bins"] and r["certified"] == (r["bound"] == r["bins"]) for r in certs)
     assert len(per_bin) <= sum(s // 100 for s in sizes) + packing.lower_bound(rest, 100) * 1.03 + 2
 
 

@@ -116,6 +116,14 @@ def test_clusters(spark, local):
     assert got == want
 
 
+def test_bisection_parts_every_node():
+    """Rows that two centres cannot part are halved; no group is lost in a node that stays as it is."""
+    e = np.eye(8, dtype=np.float32)
+    x = np.concatenate([np.repeat(e[:1], 6, 0), np.repeat(-e[:1], 6, 0), np.repeat(e[1:2], 6, 0), e[2:], -e[2:]])
+    found = clusters.bisect(x)
+    assert all(max(c @ want for c in found) > 0.99 for want in (e[0], -e[0], e[1]))
+
+
 def test_hot_vector_is_a_cluster(spark):
     x = np.concatenate([np.tile(np.eye(16)[0], (300, 1)), np.eye(16)[1:9]])
     out = clusters.clusters(table(spark, x), 10, dim=16, local=50)

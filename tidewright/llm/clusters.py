@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +38,6 @@ LEAST = 4
 #: Cosine between a row and a centre from which the row belongs to it, and between centres that are one.
 NEAR, SAME = 0.525, 0.80
 LLOYD = 3
-#: Times that the tree is grown over what no cluster has claimed so far, unless nothing new is found earlier.
-ROUNDS = 4
 
 
 def _vectors(b: pa.RecordBatch, dim: int) -> np.ndarray:
@@ -140,7 +139,10 @@ def grow(rows: DataFrame, dim: int, local: int, seed: int = 3) -> tuple[Tree, li
             compact = stage > 0 and node in mean and a[1] + b[1] >= COMPACT * n
             if n <= local:
                 continue
-            if compact or (closing and min(a[0], b[0]) == 0):
+            if closing and not compact and min(a[0], b[0]) == 0:  # rows that are apart, but not in this direction: another one
+                size[node] = n
+                continue
+            if compact:
                 done.append(_direction(a[2] + b[2]))
                 tree.children.setdefault(node, (-1, -1))
                 tree.centres[node] = np.stack([_direction(a[2] + b[2])] * 2)
@@ -195,9 +197,10 @@ def bisect(x: np.ndarray, least: int = LEAST) -> list[np.ndarray]:
             if not 0 < side.sum() < len(y):
                 break
             two = np.stack([_direction(y[side == j].sum(axis=0, dtype=np.float64)) for j in (0, 1)])
-        if 0 < side.sum() < len(y):
-            push(rows[side == 0])
-            push(rows[side == 1])
+        if not 0 < side.sum() < len(y):  # no two centres part these rows: the half that is nearer to the first
+            side = (np.argsort(np.argsort(-(y @ y[first]), kind="stable"), kind="stable") >= len(y) // 2).astype(np.int64)
+        push(rows[side == 0])
+        push(rows[side == 1])
     return out
 
 
@@ -234,11 +237,12 @@ def _near(centres: np.ndarray, dim: int):
 
 def merged(centres: np.ndarray, n: np.ndarray) -> np.ndarray:
     """The centres without those that are one with a centre of more rows."""
-    order, keep = np.argsort(-n, kind="stable"), np.zeros((0, centres.shape[1]), np.float32)
-    for i in order:
-        if not len(keep) or (keep @ centres[i]).max() < SAME:
-            keep = np.vstack([keep, centres[i : i + 1]])
-    return keep
+    keep, k = np.empty_like(centres), 0
+    for i in np.argsort(-n, kind="stable"):
+        if not k or (keep[:k] @ centres[i]).max() < SAME:
+            keep[k] = centres[i]
+            k += 1
+    return keep[:k]
 
 
 def _assign(centres: np.ndarray, dim: int):
@@ -276,9 +280,9 @@ def clusters(df: DataFrame, min_size: int = 10, id_col: str = "shipment_id", vec
     """(id, cluster_id, cosine): the members of every cluster, with their cosine to its mean direction."""
     rows = cut(usable(df, id_col, vec_col, dim).mapInArrow(_to_units(dim), "id string, v binary"))
     centres = np.zeros((0, dim), np.float32)
-    for _ in range(ROUNDS):
+    for seed in count(3):  # until a tree with other starts finds nothing new in what is left; every round before adds a centre
         left = rows.mapInArrow(_far(centres, dim), "id string, v binary") if len(centres) else rows
-        tree, done = grow(left, dim, local)
+        tree, done = grow(left, dim, local, seed)
         node_of, leaves = _finish(tree, dim)
         found = left.mapInArrow(node_of, "node long, v binary").groupBy("node").applyInArrow(leaves, "s binary").collect()
         # centres of leaves: a few for each cluster, which are far fewer than rows

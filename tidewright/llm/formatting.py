@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import SPACE, fold, is_blank
+from ..runtime import cut
 
 
 def canonical(c: Column) -> Column:
@@ -56,6 +57,6 @@ def copies(df: DataFrame, fields: tuple[str, str] = ("cargo_text", "commodity_te
     Only groups of two or more are joined back, so the side that is matched stays small; a hot group makes its
     key's rows many on the row side alone, which adaptive execution splits.
     """
-    keys = keyed(df, fields, id_col)
+    keys = cut(keyed(df, fields, id_col))  # texts are canonicalised once; what is kept is an id and two hashes a row
     many = groups(keys).filter("copies > 1").select("h128", "h64", "rep_id")
-    return keys.join(many, ["h128", "h64"]).filter("id <> rep_id").select("rep_id", "id").distinct()
+    return keys.join(many.hint("merge"), ["h128", "h64"]).filter("id <> rep_id").select("rep_id", "id").distinct()

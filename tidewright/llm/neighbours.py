@@ -110,7 +110,8 @@ def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.ndarr
         for p in range(m):
             d += 2 * gram[p, :, m][codes[:, :, p]]
         d = d.reshape(len(x), -1)
-        keep = min(beam if m < DEPTH else max(beam // 2, 1), d.shape[1])  # the cells need the full beam, the code does not
+        # the cells need the full beam; a worse code only leaves more rows to the exact comparison, by its stored error
+        keep = min(beam if m < DEPTH else max(beam // 2, 1), d.shape[1])
         best = np.argpartition(d, keep - 1, axis=1)[:, :keep]
         best = np.take_along_axis(best, np.argsort(np.take_along_axis(d, best, 1), axis=1, kind="stable"), 1)
         cost = np.take_along_axis(d, best, 1)
@@ -390,7 +391,8 @@ def neighbours(
     others that can be among the k best follow.
     """
     rows = usable(df, id_col, vec_col, dim)
-    train = bounded_sample(rows, sample, df.count())
+    total = df.count()
+    train = bounded_sample(rows, sample, total)
     if not len(train):
         return rows.select("id", F.col("id").alias("neighbour_id"), F.lit(0.0).alias("similarity")).limit(0)
     books = fit(train, words=words)
@@ -406,7 +408,9 @@ def neighbours(
     split = {c: n for c, n in split.items() if c < deepest}
     cores = {r["cell"]: r["core"] for r in over if r["cell"] in split and r["core"] > LEAST_CORE}
     blocks |= {-c: -(-n // max_cell) for c, n in cores.items()}
-    routed = vectors.mapInArrow(_router(split, set(cores), blocks, probes), _ROUTED).repartition("cell", "block").sortWithinPartitions("cell", "block", "asks")
+    # as many partitions as there are about cells, so that a task holds a few cells whatever the size of the table
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-2 * total // max_cell))
+    routed = vectors.mapInArrow(_router(split, set(cores), blocks, probes), _ROUTED).repartition(parts, "cell", "block").sortWithinPartitions("cell", "block", "asks")
     found = routed.mapInArrow(_searcher(books, dim, k, least, shortlist or 4 * k), "qh binary, xh binary, similarity double").distinct()
     return expand(coded.select("id", "h"), found, k)
 

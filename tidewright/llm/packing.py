@@ -42,6 +42,9 @@ def tokenizer_sizes(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", tex
     """(doc_id, tokens) by a public tokenizer file, which every executor reads once for each task."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks share the cores, not threads
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(tokenizer)
@@ -59,26 +62,29 @@ def word_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), word_tokens(F.col(text_col)).cast("int").alias("tokens"))
 
 
-def lower_bound(sizes: np.ndarray, capacity: int) -> int:
+def lower_bound(sizes: np.ndarray, capacity: int, counts: np.ndarray | None = None) -> int:
     """Bins that items of these sizes need at least: the largest bound that a family of dual-feasible functions gives.
 
     Beside the volume, for each k up to half the capacity: items over capacity - k count as a whole bin, items
     under k as nothing, the rest by volume; and, for a few k, the rounding function x -> floor((k + 1) x) / k.
+    counts: how many items there are of each size, one by default.
     """
     if not len(sizes):
         return 0
-    s = np.sort(sizes.astype(np.int64))
-    total = np.concatenate([[0], np.cumsum(s)])
+    o = np.argsort(sizes, kind="stable")
+    s = sizes[o].astype(np.int64)
+    c = np.ones(len(s), np.int64) if counts is None else counts[o].astype(np.int64)
+    total, many = np.concatenate([[0], np.cumsum(s * c)]), np.concatenate([[0], np.cumsum(c)])
     best = -(-int(total[-1]) // capacity)
     ks = np.unique(np.concatenate([s[s <= capacity // 2], [1]]))
     low, high = np.searchsorted(s, ks, "left"), np.searchsorted(s, capacity - ks, "right")
     high = np.maximum(high, low)
-    volume = (len(s) - high) * capacity + total[high] - total[low]
+    volume = (many[-1] - many[high]) * capacity + total[high] - total[low]
     best = max(best, int(-(-volume.max() // capacity)))
     for k in range(1, 21):
         up = (k + 1) * s
         f = np.where(up % capacity == 0, s * k, up // capacity * capacity)  # scaled by k * capacity
-        best = max(best, int(-(-int(f.sum()) // (k * capacity))))
+        best = max(best, int(-(-int((f * c).sum()) // (k * capacity))))
     return best
 
 
@@ -134,8 +140,10 @@ def _cols(t: pa.RecordBatch | pa.Table, names: tuple[str, ...]) -> list[np.ndarr
 
 
 def pack(sizes: DataFrame, capacity: int = CAPACITY, chunk: int = 500_000) -> DataFrame:
-    """(container_id, doc_id, piece, tokens, fill, cut): every piece of every document and its container.
+    """(container_id, doc_id, piece, tokens, fill, cut, level, part, bins, bound): every piece of every document and its container.
 
+    level and part name the partition that packed it last, bins and bound the bins that this partition's items took and
+    the least that they need; a full piece of a longer text is a container of its own and has none.
     sizes: (doc_id, tokens). chunk: items that a task packs at a time, which bounds its memory; a partition with
     more is packed chunk by chunk.
     """
@@ -162,7 +170,8 @@ def pack(sizes: DataFrame, capacity: int = CAPACITY, chunk: int = 500_000) -> Da
     items = cut(sizes.select("doc_id", "tokens").filter("tokens > 0")).withColumns({"full": F.expr(f"tokens div {capacity}"), "rest": F.col("tokens") % capacity})
     whole = items.filter("full > 0").withColumn("piece", F.explode(F.expr("sequence(0, cast(full as int) - 1)")))
     whole = whole.select(
-        F.concat_ws("-", F.lit("w"), "doc_id", "piece").alias("container_id"), "doc_id", "piece", F.lit(capacity).alias("tokens"), F.lit(capacity).alias("fill"), (F.col("tokens") > capacity).alias("cut")
+        F.concat_ws("-", F.lit("w"), "doc_id", "piece").alias("container_id"), "doc_id", "piece", F.lit(capacity).alias("tokens"), F.lit(capacity).alias("fill"), (F.col("tokens") > capacity).alias("cut"),
+        *(F.lit(None).cast(t).alias(c) for c, t in (("level", "int"), ("part", "long"), ("bins", "long"), ("bound", "long"))),
     )
     rest = items.filter("rest > 0").select("doc_id", F.col("full").cast("int").alias("piece"), F.col("rest").cast("int").alias("tokens"))
     packed = cut(rest.mapInArrow(within, _PACKED))
@@ -177,16 +186,29 @@ def pack(sizes: DataFrame, capacity: int = CAPACITY, chunk: int = 500_000) -> Da
     for k in kept[1:]:
         out = out.unionByName(k)
     return whole.unionByName(
-        out.select(F.concat_ws("-", "level", "part", "bin").alias("container_id"), "doc_id", "piece", "tokens", "fill", (F.col("piece") > 0).alias("cut"))
+        out.select(F.concat_ws("-", "level", "part", "bin").alias("container_id"), "doc_id", "piece", "tokens", "fill", (F.col("piece") > 0).alias("cut"), "level", "part", "bins", "bound")
     )
 
 
+def certificates(packed: DataFrame) -> DataFrame:
+    """(level, part, bins, bound, certified): what every partition packed, and whether it is proven to be the least."""
+    rows = packed.filter("part is not null").groupBy("level", "part").agg(F.max("bins").alias("bins"), F.max("bound").alias("bound"))
+    return rows.withColumn("certified", F.col("bins") == F.col("bound"))
+
+
 def containers(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """One row: containers, items, tokens, the volume bound and the share of space that is left unused."""
+    """One row: containers, items, tokens, bound, gap and unused, the share of space that is left unused.
+
+    bound: containers that all items together need at least, by the same functions; it takes how many items there are
+    of each size, `capacity` numbers at most.
+    """
+    sizes = packed.groupBy("tokens").agg(F.count(F.lit(1)).alias("n")).collect()
+    bound = lower_bound(np.array([r["tokens"] for r in sizes], np.int64), capacity, np.array([r["n"] for r in sizes], np.int64))
     total = packed.agg(F.countDistinct("container_id").alias("containers"), F.count(F.lit(1)).alias("items"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"))
     return total.withColumns(
         {
-            "bound": F.ceil(F.col("tokens") / capacity).cast("long"),
+            "bound": F.lit(bound).cast("long"),
+            "gap": F.col("containers") - F.lit(bound),
             "unused": F.when(F.col("containers") > 0, F.round(1 - F.col("tokens") / (F.col("containers") * capacity), 6)).otherwise(0.0),
         }
     )

@@ -11,6 +11,9 @@ from ..sources.tables import table
 from ..functions.text import label
 from . import clusters, evalleak, formatting, neighbours, packing, pii, sampling, splits
 
+#: File of the public tokenizer that measures texts where nothing else is set.
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+
 
 def p1_found(spark: SparkSession, base: str) -> DataFrame:
     found = neighbours.neighbours(table(spark, base, "shipment_classifications"), k=10, min_similarity=0.80)
@@ -42,6 +45,12 @@ def p3_records(spark: SparkSession, base: str) -> DataFrame:
     return formatting.collapse(table(spark, base, "shipment_labels"))
 
 
+def p3_conflicts(spark: SparkSession, base: str) -> DataFrame:
+    """The collision check: 128-bit hashes that more than one text has."""
+    rows = formatting.conflicts(formatting.groups(formatting.keyed(table(spark, base, "shipment_labels"), ("cargo_text", "commodity_text"), "id")))
+    return rows.select(F.hex("h128").alias("hash"), "texts")
+
+
 def p4_found(spark: SparkSession, base: str) -> DataFrame:
     return splits.row_pairs(*splits.overlaps(table(spark, base, "shipment_labels")))
 
@@ -63,17 +72,23 @@ def p5_sample(spark: SparkSession, base: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, base: str) -> DataFrame:
-    return packing.longer_than_container(p6_packed(spark, base))
+    """In the tokens that the tables' description defines."""
+    return packing.longer_than_container(packing.pack(packing.word_sizes(table(spark, base, "documents"))))
 
 
 def p6_packed(spark: SparkSession, base: str) -> DataFrame:
-    return packing.pack(packing.word_sizes(table(spark, base, "documents")))
+    """In tokens of a public tokenizer, whose file the setting tidewright.tokenizer names."""
+    return packing.pack(packing.tokenizer_sizes(table(spark, base, "documents"), spark.conf.get("tidewright.tokenizer", TOKENIZER)))
 
 
 def p6_containers(spark: SparkSession, base: str) -> DataFrame:
     return packing.containers(p6_packed(spark, base))
 
 
+def p6_certificates(spark: SparkSession, base: str) -> DataFrame:
+    return packing.certificates(p6_packed(spark, base))
+
+
 def _leaks(spark: SparkSession, base: str) -> DataFrame:
     return evalleak.leaks(table(spark, base, "documents"), table(spark, base, "eval_items"))
 
