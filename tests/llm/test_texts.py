@@ -169,11 +169,13 @@ def test_mentions(spark):
 
 def test_viterbi_is_best_path():
     rng = np.random.default_rng(0)
-    e, t = rng.standard_normal((3, 5, 4)), rng.standard_normal((4, 4))
-    for row, path in zip(e, pii_model.decode(e, t)):
-        score = lambda p: t[0][p[0]] + sum(row[i][p[i]] for i in range(5)) + sum(t[p[i]][p[i + 1]] for i in range(4)) + t[p[4]][0]
-        best = max(score(p) for p in np.ndindex(4, 4, 4, 4, 4))
-        assert score(path) == pytest.approx(best)
+    for _ in range(20):
+        e, t = rng.standard_normal((3, 5, 5)), rng.standard_normal((5, 5))
+        t[[0, 1, 2, 0, 3, 4], [4, 4, 4, 2, 2, 2]] = -1e4  # a further character follows its own type only
+        for row, path in zip(e, pii_model.decode(e, t)):
+            score = lambda p: t[0][p[0]] + sum(row[i][p[i]] for i in range(5)) + sum(t[p[i]][p[i + 1]] for i in range(4)) + t[p[4]][0]
+            best = max(score(p) for p in np.ndindex(5, 5, 5, 5, 5))
+            assert score(path) == pytest.approx(best, abs=1e-4)
 
 
 def test_training_learns(tmp_path, monkeypatch):
@@ -218,46 +220,6 @@ def test_public_tokenizer_sizes(spark):
     assert F is not None
 
 
-def test_search_around_open_characters_is_the_whole_search():
-    w = pii_model.load()
-    r = random.Random(4)
-    texts = [" ".join(r.choices(TEXT.split(), k=40)) for _ in range(20)] + [TEXT + " The crew stored sacks of rings. " * 9 + TEXT]
-    x = np.zeros((len(texts), 512), np.int16)
-    for i, t in enumerate(texts):
-        c = pii_model.classes(t)[:512]
-        x[i, : len(c)] = c
-    e = pii_model.emissions(w, x)
-    e[x == 0] = [0, *[-1e4] * (pii_model.TAGS - 1)]
-    assert (pii_model.tag(w, x) == pii_model.decode(e, w["trans"])).all()
-
-
-def test_what_is_left_out_of_the_search_is_outside_of_every_best_path():
-    """Random scores and transitions, with weak bridges between strong characters; the shortened search is the whole one."""
-    from tidewright.llm.pii_train import ALLOWED
-
-    share = []
-    for seed in range(120):
-        r = np.random.default_rng(seed)
-        e = r.normal(0, 1.5, (4, 60, pii_model.TAGS)).astype(np.float32)
-        e[:, :, 0] += r.uniform(0, 6) + (r.random((4, 60)) < 0.8) * r.uniform(0, 4)
-        k = r.integers(1, 11)
-        e[:, 10:13, k] += 8
-        e[:, 13:43, k] = e[:, 13:43, 0] - r.uniform(0, 0.5)
-        e[:, 43:46, k] += 8
-        t = np.where(ALLOWED, r.normal(0, r.uniform(0.1, 2), ALLOWED.shape), -1e4).astype(np.float32)
-        whole, out = pii_model.decode(e, t), pii_model.outside(e, t)
-        assert not whole[out].any()
-        some = [(i, a, e[i, a:b].copy()) for i, a, b in zip(*(f.tolist() for f in pii_model.stretches(~out)))]
-        tags = np.zeros(whole.shape, np.int8)
-        for (i, a, _), got in zip(some, pii_model.search(some, t)):
-            tags[i, a : a + len(got)] = got
-        # the constant bridges make ties, which rounding decides: equally good is the same
-        score = lambda i, p: e[i, np.arange(60), p].sum(dtype=np.float64) + t[np.r_[0, p], np.r_[p, 0]].sum(dtype=np.float64)
-        assert all(score(i, tags[i]) == pytest.approx(score(i, whole[i]), abs=1e-3) for i in range(4))
-        share.append(out.mean())
-    assert np.mean(share) > 0.05
-
-
 def test_sentences_from_elsewhere():
     """Hand-labelled sentences that neither the generator of training text nor the tables have; the README has the figures."""
     from pii_hand import labelled

@@ -132,22 +132,18 @@ def find(texts: list[str | None], model: dict[str, np.ndarray], batch: int = BAT
                 where.append((i, s))
     tags = {i: np.zeros(len(texts[i]), np.int8) for i, _ in where}
     order = sorted(range(len(rows)), key=lambda k: -len(rows[k]))  # windows of like length share a batch, which is cut to it
-    some: list[M.Stretch] = []
     for lo in range(0, len(rows), batch):
         part = order[lo : lo + batch]
         width = -(-max(len(rows[k]) for k in part) // M.CHARS) * M.CHARS
         x = np.zeros((len(part), width), np.int16)
         for j, k in enumerate(part):
             x[j, : len(rows[k])] = rows[k]
-        some += [(part[r], a, e) for r, a, e in M.opened(model, x)]
-    for (k, at, _), got in zip(some, M.search(some, model["trans"])):
-        i, s = where[k]
-        first = s + M.EDGE if s else 0
-        end = min(s + M.WINDOW, len(tags[i]))
-        last = end if end == len(tags[i]) else end - M.EDGE
-        a, b = max(s + at, first), min(s + at + len(got), last)
-        if a < b:
-            tags[i][a:b] = got[a - s - at : b - s - at]
+        for k, got in zip(part, M.tag(model, x)):
+            i, s = where[k]
+            first = s + M.EDGE if s else 0
+            end = min(s + M.WINDOW, len(tags[i]))
+            last = end if end == len(tags[i]) else end - M.EDGE
+            tags[i][first:last] = got[first - s : last - s]
     return [reconcile(t, spans_of(tags[i])) if i in tags else [] for i, t in enumerate(texts)]
 
 

@@ -4,7 +4,7 @@ A step reads `CHARS` characters, each through a table of its own place, and give
 tags stay on characters while the recurrence is shorter. Gates and cells are clipped lines (hard sigmoids and hard
 tangents), which numpy does many times faster. Tags are O and, for each type, the first character and a further one. The
 transitions are fitted together with the rest by the likelihood of whole tag sequences, and forbid to go on with what
-has not begun. The search for the best sequence leaves out only characters that are proven to be O in it (`outside`).
+has not begun. The best sequence is searched for over all characters of a window.
 """
 
 from __future__ import annotations
@@ -115,102 +115,44 @@ def emissions(w: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
 
 
 def decode(e: np.ndarray, trans: np.ndarray) -> np.ndarray:
-    """The best tags (windows, characters) by the Viterbi algorithm; O stands before the first and after the last character."""
-    n, length, k = e.shape
-    score, back = e[:, 0] + trans[0][None], np.empty((length, n, k), np.int8)
-    for t in range(1, length):
-        s = score[:, :, None] + trans[None]
-        back[t] = s.argmax(axis=1)
-        score = np.take_along_axis(s, back[t][:, None].astype(np.int64), 1)[:, 0] + e[:, t]
-    tags = np.empty((n, length), np.int8)
-    tags[:, -1] = (score + trans[:, 0]).argmax(axis=1)
-    rows = np.arange(n)
-    for t in range(length - 1, 0, -1):
-        tags[:, t - 1] = back[t][rows, tags[:, t]]
-    return tags
-
-
-def outside(e: np.ndarray, trans: np.ndarray) -> np.ndarray:
-    """Characters (windows, characters) that are O on every best path, so that the search may be cut there.
-
-    Scores count from O: e' = e - e[O], t' = trans - trans[O, O]. A character is closed when each other tag loses m > 0
-    there, after any gain of a transition. Let a path have another tag at a closed character c, and set to O what it
-    has between the borders l and r of c's run of closed characters. This wins the m of what is set, and can lose: at a
-    mention's end inside the run `tail`; where the mention comes from before l, `head`, a transition to O; where it goes
-    on past r, the cost of beginning anew at r + 1, which is known from the scores there. If what is won is more in each
-    of the four cases (from c alone, from l to c, from c to r, from l to r), no best path has another tag at c.
+    """The best tags (windows, characters) by the Viterbi algorithm over all characters; O stands before the first and after the last.
+
+    Windows are the last axis, so that every step is a few operations on long rows. A further character has two tags
+    that can come before it, O and first characters have all.
     """
-    t = trans - trans[0, 0]
-    first, further = np.arange(1, TAGS, 2), np.arange(2, TAGS, 2)
-    allowed = t > -1e3
-    g = max(0.0, float(t[allowed].max()))
-    tail, head = max(0.0, float(t[:, 0].max())), max(0.0, -float(t[:, 0].min()))
-    after = allowed[first]
-    change = min(0.0, float((t[first] - t[further])[after & allowed[further]].min()))
-    again = g - float(t[0, first].min()) - change
-    d = e - e[:, :, :1]
-    m = -d[:, :, 1:].max(axis=2) - g
-    n, length = m.shape
-    closed = m > tail
-    won = np.concatenate([np.zeros((n, 1)), np.cumsum(np.where(closed, np.minimum(m, 1e4), 0), axis=1, dtype=np.float64)], axis=1)
-    at = np.arange(length)
-    before = np.maximum.accumulate(np.where(closed, -1, at), axis=1)  # the open character before, or -1
-    behind = np.minimum.accumulate(np.where(closed, length, at)[:, ::-1], axis=1)[:, ::-1]  # the open character behind, or length
-    begin = again + np.maximum(0, (d[:, :, further] - d[:, :, first]).max(axis=2))
-    rows = np.arange(n)[:, None]
-    cost = np.where(behind < length, begin[rows, np.minimum(behind, length - 1)], tail)
-    back = np.where(before >= 0, head, 0)
-    left, right, whole = won[:, 1:] - won[rows, before + 1], won[rows, behind] - won[:, :-1], won[rows, behind] - won[rows, before + 1]
-    eps = 1e-3
-    return closed & (left > back + tail + eps) & (right > cost + eps) & (whole > back + cost + eps)
-
-
-def stretches(open_: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(window, start, end) of the runs of open characters."""
-    row, at = np.nonzero(open_)
-    if not len(row):
-        return row, at, at
-    first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1)])
-    return row[first], at[first], at[np.r_[first[1:] - 1, len(at) - 1]] + 1
-
-
-Stretch = tuple[int, int, np.ndarray]
-
-
-def opened(w: dict[str, np.ndarray], x: np.ndarray) -> list[Stretch]:
-    """(window, start, scores) of the stretches of the windows x outside of which every best path has O."""
-    e = emissions(w, x)
-    e[:, :, 1:][x == 0] = -1e4
-    e[:, :, 0][x == 0] = 0
-    return [(r, a, e[r, a:b].copy()) for r, a, b in zip(*(f.tolist() for f in stretches(~outside(e, w["trans"]))))]
-
-
-def search(some: list[Stretch], trans: np.ndarray, most: int = 8192) -> list[np.ndarray]:
-    """The best tags of each stretch; those of like length are searched together, the more the better."""
-    order = sorted(range(len(some)), key=lambda i: len(some[i][2]))
-    out: list[np.ndarray] = [np.zeros(0, np.int8)] * len(some)
-    k = 0
-    while k < len(order):
-        limit, j = 1.4 * len(some[order[k]][2]) + 8, k + 1
-        while j < len(order) and j - k < most and len(some[order[j]][2]) <= limit:
-            j += 1
-        width = len(some[order[j - 1]][2])
-        part = np.full((j - k, width, TAGS), -1e4, np.float32)
-        part[:, :, 0] = 0
-        for n, i in enumerate(order[k:j]):
-            part[n, : len(some[i][2])] = some[i][2]
-        for i, tags in zip(order[k:j], decode(part, trans)):
-            out[i] = tags[: len(some[i][2])]
-        k = j
-    return out
+    e = np.ascontiguousarray(e.transpose(1, 2, 0), np.float32)
+    length, k, n = e.shape
+    trans = trans.astype(np.float32)
+    into, further = np.r_[0, 1:k:2], np.arange(2, k, 2)
+    t = np.ascontiguousarray(trans[:, into])[:, :, None]
+    begun, again = trans[further - 1, further][:, None], trans[further, further][:, None]
+    scores = np.empty((length, k, n), np.float32)
+    best, some = np.empty((len(into), n), np.float32), np.empty((len(into), n), np.float32)
+    np.add(trans[0][:, None], e[0], out=scores[0])
+    for i in range(1, length):
+        score, new = scores[i - 1], scores[i]
+        np.add(score[0], t[0], out=best)
+        for j in range(1, k):
+            np.add(score[j], t[j], out=some)
+            np.maximum(best, some, out=best)
+        new[into] = best
+        new[further] = np.maximum(score[further - 1] + begun, score[further] + again)
+        new += e[i]
+    tags = np.empty((length, n), np.int8)
+    tags[-1] = (scores[-1] + trans[:, 0][:, None]).argmax(axis=0)
+    for i in range(length - 1, 0, -1):  # what came before is found again for the one tag that each window has
+        tags[i - 1] = (scores[i - 1] + trans.take(tags[i], axis=1)).argmax(axis=0)
+    return tags.T
 
 
 def tag(w: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
-    """Tags (windows, characters) of the windows x."""
-    some, tags = opened(w, x), np.zeros(x.shape, np.int8)
-    for (r, a, _), got in zip(some, search(some, w["trans"])):
-        tags[r, a : a + len(got)] = got
-    return tags
+    """Tags (windows, characters) of the windows x; what is padded is O."""
+    e = emissions(w, x)
+    pad = x == 0
+    if pad.any():
+        e[pad] = -1e4
+        e[:, :, 0][pad] = 0
+    return decode(e, w["trans"])
 
 
 def load() -> dict[str, np.ndarray]:
