@@ -102,3 +102,24 @@ def test_stream(spark, tmp_path):
     for _ in range(2):  # the second run finds nothing new
         K.run_once(K.classify_stream(K.read_requests(spark, str(tmp_path / "in")), vectors, model), str(tmp_path / "c"), str(tmp_path / "out"))
     assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select("shipment_id", "confidence_state", "categories").collect()] == [("s1", "classified", "a")]
+
+
+@pytest.mark.parametrize("parts", [0, 20])
+def test_stream_of_a_table(spark, tmp_path, parts):
+    """The requests' table is one file among others or a folder of files, and is read whole either way."""
+    import os
+
+    from tidewright.plans.queries import queries
+    from tidewright.sources.tables import table
+
+    given, base, name = "/root/testdata/sf0.001", tmp_path / "base", "classify_requests.parquet"
+    base.mkdir()
+    for f in os.listdir(given):
+        if f != name or not parts:
+            (base / f).symlink_to(f"{given}/{f}")
+    rows = table(spark, given, name[:-8])
+    if parts:
+        rows.repartition(parts).write.parquet(str(base / name))
+    want = sorted(map(str, queries()["classify_bands"](spark, given).select("shipment_id", "max_score").collect()))
+    got = queries()["stream_classify"](spark, str(base))
+    assert sorted(map(str, got.select("shipment_id", "max_score").collect())) == want

@@ -168,10 +168,10 @@ def persist_results(spark: SparkSession, base: str) -> DataFrame:
 
 @query
 def stream_classify(spark: SparkSession, base: str) -> DataFrame:
-    """The requests' file as a stream; what has arrived is classified, written once and read."""
+    """The requests' table, one file or a folder of them, as a stream; what has arrived is classified, written once and read."""
     out = scratch(spark, "stream")
     vectors = table(spark, base, "shipment_classifications").select("shipment_id", "embedding")
-    K.run_once(K.classify_stream(K.read_requests(spark, base, "classify_requests.parquet"), vectors, _model(spark, base)), f"{out}/checkpoint", f"{out}/table")
+    K.run_once(K.classify_stream(K.read_requests(spark, f"{base}/classify_requests.parquet"), vectors, _model(spark, base)), f"{out}/checkpoint", f"{out}/table")
     return spark.read.parquet(f"{out}/table")
 
 

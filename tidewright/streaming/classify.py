@@ -10,6 +10,9 @@ from ..operators.pipeline import persist, valid
 from ..operators.scoring import banded, scored
 from ..sources.sinks import swap
 
+#: Bytes of request files that a micro-batch takes.
+MOST_BYTES = 512 << 20
+
 
 def classify_stream(requests: DataFrame, vectors: DataFrame, model: Model) -> DataFrame:
     """Streaming requests joined to a static table of vectors (shipment_id, embedding), scored and banded."""
@@ -33,7 +36,14 @@ def run_once(out: DataFrame, checkpoint: str, path: str) -> None:
     q.awaitTermination()
 
 
-def read_requests(spark: SparkSession, path: str, only: str = "*.parquet") -> DataFrame:
-    """The stream of the request files of a folder that have a name like `only`, with the schema of those that are there."""
+def read_requests(spark: SparkSession, path: str, only: str = "*") -> DataFrame:
+    """The stream of a folder's request files that have a name like `only`, or of the one file at `path`, with the schema of what is there.
+
+    A table may be either. A micro-batch is bounded by bytes, since each reads the static vectors again.
+    """
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isFile():
+        path, only = at.getParent().toString(), at.getName()
     schema = spark.read.option("pathGlobFilter", only).parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).option("pathGlobFilter", only).parquet(path)
+    return spark.readStream.schema(schema).option("maxBytesPerTrigger", MOST_BYTES).option("pathGlobFilter", only).parquet(path)
