@@ -147,6 +147,37 @@ def test_common_order():
         assert evalleak.common_order(a, b) == t[-1, -1]
 
 
+def test_weight_in_order():
+    r = random.Random(3)
+    for _ in range(50):
+        ws = [r.choice("abcdefgh") for _ in range(r.randrange(1, 30))]
+        items = evalleak.Items([(1, " ".join(ws))])
+        items.weigh(np.random.default_rng(r.randrange(1000)).random(evalleak.BUCKETS))
+        text = evalleak.Reader()(" ".join(r.choice("abcdefghxyz") for _ in range(r.randrange(1, 60))))
+        a, x = items.words[0], items.weight[0]
+        t = np.zeros((len(a) + 1, len(text) + 1))
+        for i in range(len(a)):
+            for j in range(len(text)):
+                t[i + 1, j + 1] = max(t[i, j + 1], t[i + 1, j], t[i, j] + x[i] if a[i] == text[j] else 0)
+        distinct = items.bags[0][0].tolist()
+        at = np.array([distinct.index(w) for w in text.tolist() if w in distinct], np.int64)
+        assert items.weighs(0, at, t[-1, -1] - 1e-9) and not items.weighs(0, at, t[-1, -1] + 1e-9)
+
+
+def test_repeated_turns_of_phrase_cost_no_alignment_of_every_window(monkeypatch):
+    r = random.Random(9)
+    ws = r.sample(VOCAB, 60)
+    items = evalleak.Items([(7, " ".join(ws))])
+    idf = np.full(evalleak.BUCKETS, 0.1)
+    idf[items.words[0][40:] & (evalleak.BUCKETS - 1)] = 1.0
+    items.weigh(idf)
+    turn = " zz ".join(ws[:40] + ws[:39:-1])  # the frequent words in order, the others turned round, and no runs
+    text = evalleak.Reader()(" ".join([turn] * 20))
+    done, aligned = [], evalleak.aligned
+    monkeypatch.setattr(evalleak, "aligned", lambda *a: done.append(1) or aligned(*a))
+    assert items.order(0, text, float(items.shared_runs(text)[0])) == (0.0, 0) and len(done) <= len(text) / 60
+
+
 TEXT = "Please call Mrs. Elena Vintamont on +44 20 7946 0813 about this. Send the papers to emil+dock@highmere.mail.example.\nDeliver to 137 Pellbrook Street, Unit 8, Lambstad. Driver Hugo Karbtow, passport no. P5709486."
 
 

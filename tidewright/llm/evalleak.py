@@ -10,8 +10,8 @@ with the passages of all items, which are a given, small set. A document and an
 longer than the item, must hold `MIN_ORDER` of the item's words in the item's order (longest common subsequence).
 Frequent words stand in order by chance, so the answer is checked too: the share of the item's weight (IDF, nothing for
 standard clauses) that a window can have in order, raised where it also has whole runs of three words, must be
-`MIN_WEIGHT`. Upper bounds on both, from the words that document and window have at all, decide what need not be
-aligned. A run is a clause's if more than two different items share it and twice as many documents have it as leaks of
+`MIN_WEIGHT`. Upper bounds on both, from the words that document and window have at all and from what a stretch of
+several windows has in order, decide what need not be aligned. A run is a clause's if more than two different items share it and twice as many documents have it as leaks of
 these items account for; an item that is nearly all clauses is weighed whole. Equal items are one item until the pairs
 are listed. Items are searched for in blocks of `ITEMS_AT_ONCE`, so what goes to the executors is bounded.
 
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +40,7 @@ FIT_DOCS = 2048
 MIN_COSINE, MIN_ORDER, SHORTEST = 0.55, 0.40, 2 * STEP
 #: Share of an item's weight in order, with `RUNS` times the share of its runs, that a leak has at least.
 MIN_WEIGHT, RUNS = 0.42, 0.6
+#: Weight of an item's lightest words, together, without which its heavier words are aligned first.
 LIGHT = 0.10
 #: Share of its runs from which a short item is a candidate whatever its cosine, and under which an item is nearly all clauses.
 MIN_RUNS = 0.16
@@ -63,36 +65,74 @@ class _Fold(dict):
         return r
 
 
+class _Hashes(dict):
+    """Hashes of words as they stand in the text; -1 for those of which nothing is left."""
+
+    fold = _Fold()
+
+    def __missing__(self, word: str) -> int:
+        w = word.translate(self.fold).replace("rn", "m")
+        h = self[word] = zlib.crc32(w.encode("utf-8", "surrogatepass")) if w else -1
+        return h
+
+
 class Reader:
     """Texts as arrays of 32-bit word hashes."""
 
-    def __init__(self, keep: int = 1_000_000) -> None:
-        self.fold, self.known, self.keep = _Fold(), {}, keep
+    def __init__(self, keep: int = 500_000) -> None:
+        self.known, self.keep = _Hashes(), keep
 
     def __call__(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, np.int64)
         if "<" in text:
             text = _TAG.sub(" ", text)
-        words, known = text.translate(self.fold).replace("rn", "m").split(), self.known
+        words, known = text.split(), self.known
         if len(known) > self.keep:
             known.clear()
-        out = []
-        for w in words:
-            h = known.get(w)
-            if h is None:
-                h = known[w] = zlib.crc32(w.encode("utf-8", "surrogatepass"))
-            out.append(h)
-        return np.array(out, np.int64)
+        out = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        return out[out >= 0]
+
+
+def _once(x: np.ndarray) -> np.ndarray:
+    """The distinct numbers of x, in order."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
+class _Sieve:
+    """Leaves out most numbers that are not among the 64-bit hashes given, and none that are."""
+
+    def __init__(self, hashes: np.ndarray) -> None:
+        bits = min(max(16, (16 * len(hashes)).bit_length()), 24)
+        self.shift, self.some = np.uint64(64 - bits), np.zeros(1 << bits, bool)
+        self.some[hashes >> self.shift] = True
 
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        return hashes[self.some[hashes >> self.shift]]
 
-def passages(weights: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """The latent vectors of the overlapping passages of a text, at length 1."""
-    if not len(words):
-        return np.zeros((0, weights.shape[1]), np.float32)
-    p = np.add.reduceat(weights[words & (BUCKETS - 1)], np.arange(0, len(words), STEP), axis=0)
-    p = p[:-1] + p[1:] if len(p) > 1 else p
-    return p / (np.linalg.norm(p, axis=1, keepdims=True) + 1e-9)
+
+def passages(weights: np.ndarray, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The latent vectors of the overlapping passages of texts, at length 1, one text after the other, and the number of each text's.
+
+    A row of zeros after the weights fills a text's last block; without one it is added.
+    """
+    size = np.array([len(w) for w in texts], np.int64)
+    blocks = -(-size // STEP)
+    p = np.zeros((blocks.sum(), weights.shape[1]), np.float32)
+    words = np.append(np.concatenate([*texts, np.zeros(0, np.int64)]) & (BUCKETS - 1), BUCKETS)
+    nth = np.arange(len(p)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    at = np.append(np.repeat(np.cumsum(size) - size, blocks) + nth * STEP, len(words) - 1)
+    weights = weights if len(weights) > BUCKETS else np.append(weights, np.zeros_like(weights[:1]), axis=0)
+    for lo in range(0, len(p), 128):
+        start, end = at[:-1][lo : lo + 128, None], at[1:][lo : lo + 128, None]
+        k = start + np.arange(STEP)
+        p[lo : lo + 128] = weights.take(words[np.where(k < end, k, -1)], axis=0).sum(axis=1)
+    last = nth == np.repeat(blocks, blocks) - 1
+    whole = last & (nth == 0)
+    first = np.flatnonzero(~last | whole)
+    p = p[first] + p[np.minimum(first + 1, len(p) - 1)] * ~whole[first, None]
+    return p / (np.linalg.norm(p, axis=1, keepdims=True) + 1e-9), np.maximum(blocks - 1, np.minimum(blocks, 1))
 
 
 def _df(shared):
@@ -101,14 +141,17 @@ def _df(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs = shared.value
         read, n, docs, have = Reader(), np.zeros(BUCKETS, np.int64), 0, np.zeros(len(runs), np.int64)
+        sieve, last = _Sieve(runs), np.zeros(BUCKETS, np.int64)
         for b in batches:
             for t in b.column(0).to_pylist():
                 w = read(t)
                 if len(w):
-                    n[np.unique(w & (BUCKETS - 1))] += 1
+                    bucket, k = w & (BUCKETS - 1), np.arange(len(w))
+                    last[bucket] = k
+                    n[bucket[last[bucket] == k]] += 1  # each bucket once
                     docs += 1
                     if len(runs):
-                        r = np.unique(_runs(w))
+                        r = _once(sieve(_runs(w)))
                         at = np.minimum(np.searchsorted(runs, r), len(runs) - 1)
                         have[at[runs[at] == r]] += 1
         hit, seen = np.flatnonzero(n), np.flatnonzero(have)
@@ -273,12 +316,15 @@ class Items:
         o = np.argsort(flat, kind="stable")
         self.run, self.of = flat[o], own[o]
         self.distinct, self.back = np.unique(self.run, return_inverse=True)
+        self.vocabulary = np.unique(np.concatenate([*self.words, np.zeros(0, np.int64)]))
+        self.local = np.full(len(self.vocabulary) + 1, -1, np.int64)  # scratch: see order()
+        self.has = np.zeros(len(self.vocabulary) + 1)  # scratch: see shared_words()
         self.ignore_clauses(np.zeros(len(self.distinct), np.int64))
         self.weigh(np.ones(BUCKETS))
 
     def weigh(self, idf: np.ndarray) -> None:
         """Gives every word of every item its weight, those of standard clauses none."""
-        self.weight, self.bags = [], []
+        self.weight, self.bags, self.sums, self.places = [], [], [], []
         for k, w in enumerate(self.words):
             x = idf[w & (BUCKETS - 1)].astype(np.float64)
             if not self.bare[k]:
@@ -289,19 +335,21 @@ class Items:
             x = x / x.sum()
             self.weight.append(x)
             distinct, which, many = np.unique(w, return_inverse=True, return_counts=True)
+            self.sums.append((np.searchsorted(self.vocabulary, distinct), np.array([np.bincount(which, x), many / len(w)])))
+            places: list[list[tuple[int, float]]] = [[] for _ in distinct]
+            for p in np.flatnonzero(x > 0)[::-1].tolist():
+                places[which[p]].append((p, float(x[p])))
+            self.places.append(places)
             heavy = np.zeros(len(distinct))
             np.maximum.at(heavy, which, x)
             by_word = masks(w.tolist())
             light = heavy * many
             o = np.argsort(light, kind="stable")
             light[o] = np.cumsum(light[o])
-            light = light <= LIGHT  # the lightest words, LIGHT of the weight together
-            x = np.sort(x[~light[which]])[::-1]
-            self.bags.append((distinct, many, heavy, [by_word[d] for d in distinct.tolist()], light, 1 - x.sum() + np.concatenate([[0], np.cumsum(x)])))
-        word, of, x = (np.concatenate([*p, np.zeros(0, t)]) for p, t in ((self.words, np.int64), ([np.full(len(w), k) for k, w in enumerate(self.words)], np.int64), (self.weight, np.float64)))
-        o = np.argsort(word, kind="stable")
-        self.word, self.word_of, self.word_weight = word[o], of[o].astype(np.int64), x[o]
-        self.length = np.array([len(w) for w in self.words])
+            light = light <= LIGHT
+            o = np.argsort(-x, kind="stable")
+            o = o[~light[which[o]]]  # the places of the heavier words, heaviest first
+            self.bags.append((distinct, many, heavy, [by_word[d] for d in distinct.tolist()], light, 1 - x[o].sum(), which[o], x[o]))
 
     def ignore_clauses(self, have: np.ndarray) -> None:
         """Leaves out the runs of standard clauses. have: documents that have each of the distinct runs."""
@@ -316,6 +364,8 @@ class Items:
         keep = ~((n > 2) & (have > 2 * due))[self.back]
         self.run, self.of = self.run[keep], self.of[keep]
         self.distinct, self.back = np.unique(self.run, return_inverse=True)
+        self.first, self.sieve = np.searchsorted(self.run, self.distinct), _Sieve(self.distinct)
+        self.first = np.append(self.first, len(self.run))
         kept = np.bincount(self.of, minlength=len(self.words))
         self.n_runs = np.maximum(kept, 1)
         self.kept = np.split(self.run[np.argsort(self.of, kind="stable")], np.cumsum(kept)[:-1]) if len(kept) else []
@@ -331,50 +381,76 @@ class Items:
                 of.append(k)
         return np.concatenate(q).astype(np.float32), np.array(of, np.int64)
 
-    @staticmethod
-    def _hits(keys: np.ndarray, found: np.ndarray) -> np.ndarray:
-        """Where the sorted keys are equal to one of those found."""
-        lo, hi = np.searchsorted(keys, found, "left"), np.searchsorted(keys, found, "right")
-        lo, n = lo[hi > lo], (hi - lo)[hi > lo]
-        return np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-
     def shared_runs(self, words: np.ndarray) -> np.ndarray:
         """Share of each item's runs that the text has, without those of clauses."""
-        hit = self._hits(self.run, np.unique(_runs(words)))
+        r = _once(self.sieve(_runs(words)))
+        if not len(r) or not len(self.distinct):
+            return np.zeros(len(self.ids))
+        at = np.minimum(np.searchsorted(self.distinct, r), len(self.distinct) - 1)
+        at = at[self.distinct[at] == r]
+        lo, n = self.first[at], self.first[at + 1] - self.first[at]
+        hit = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
         return np.bincount(self.of[hit], minlength=len(self.ids)) / self.n_runs
 
-    def shared_words(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Shares of each item's weight and words that the text has, in any order."""
-        hit = self._hits(self.word, np.unique(words))
-        of, n = self.word_of[hit], len(self.ids)
-        return np.bincount(of, self.word_weight[hit], n), np.bincount(of, minlength=n) / self.length
+    def seen(self, words: np.ndarray) -> np.ndarray:
+        """The places of words in the vocabulary; its size for those that no item has."""
+        at = np.searchsorted(self.vocabulary, words)
+        at[self.vocabulary[np.minimum(at, len(self.vocabulary) - 1)] != words] = len(self.vocabulary)
+        return at
+
+    def shared_words(self, near: list[int], seen: np.ndarray) -> np.ndarray:
+        """The shares of weight and words of each of the items near that the text has, in any order."""
+        self.has[seen], out = 1, []
+        for k in near:
+            at, sums = self.sums[k]
+            out.append(sums @ self.has.take(at))
+        self.has[seen] = 0
+        return np.array(out).T
 
     def stands(self, words: np.ndarray) -> np.ndarray:
         """The items of one or two words that the text has as they are."""
         found = [np.array(self.tiny[n])[np.isin(keys, _grams(words, n))] for n, keys in self.tiny_keys.items()]
         return np.concatenate([np.zeros(0, np.int64), *found])
 
-    def candidates(self, cosines: np.ndarray, runs: np.ndarray, words: np.ndarray) -> np.ndarray:
+    def candidates(self, cosines: np.ndarray, runs: np.ndarray, words: np.ndarray, seen: np.ndarray) -> np.ndarray:
         """The items to check on words."""
         near = np.flatnonzero((cosines >= MIN_COSINE) | self.short & (runs >= MIN_RUNS))
         if len(near):
-            weight, share = self.shared_words(words)
-            near = near[((weight + RUNS * runs >= MIN_WEIGHT - 1e-9) & (share >= MIN_ORDER))[near]]
+            weight, share = self.shared_words(near.tolist(), seen)
+            near = near[(weight + RUNS * runs[near] >= MIN_WEIGHT - 1e-9) & (share >= MIN_ORDER - 1e-9)]
         if not self.tiny_keys:
             return near
         return np.union1d(near[[len(self.words[k]) > 2 for k in near.tolist()]] if len(near) else near, self.stands(words))
 
-    def answered(self, k: int, window: np.ndarray) -> bool:
-        """Whether the window has enough of item k's weight in order."""
-        a, x = self.words[k], self.weight[k]
-        need = MIN_WEIGHT - (RUNS * float(np.isin(self.kept[k], _runs(window)).mean()) if len(self.kept[k]) else 0)
-        best = np.zeros(len(a) + 1)
-        for w in window[np.isin(window, a)].tolist():
-            m = a == w
-            best[1:] = np.maximum.accumulate(np.maximum(best[1:], np.where(m, best[:-1] + x, 0)))
-            if best[-1] >= need:
-                return True
-        return need <= 0
+    def weighs(self, k: int, at: np.ndarray, need: float) -> bool:
+        """Whether a text has `need` of item k's weight in order. at: the words of the text that the item has, as places among its distinct ones.
+
+        Heaviest increasing subsequence: of the common subsequences so far those are kept that end earlier in the
+        item than all heavier ones.
+        """
+        if need <= 0:
+            return True
+        places, ends, sums = self.places[k], [-1, 1 << 62], [0.0, np.inf]
+        for j in at.tolist():
+            for p, x in places[j]:  # from the last, so that a word of the text stands for one of the item's
+                i = e = bisect_left(ends, p)
+                s = sums[i - 1] + x
+                while sums[e] <= s:
+                    e += 1
+                if e > i or ends[i] > p:
+                    if s >= need:
+                        return True
+                    ends[i:e], sums[i:e] = [p], [s]
+        return False
+
+    def answered(self, k: int, window: np.ndarray, at: np.ndarray) -> bool:
+        """Whether the window has enough of item k's weight in order. at: see weighs()."""
+        kept, runs = self.kept[k], 0.0
+        if len(kept):
+            r = _runs(window)
+            i = np.minimum(np.searchsorted(kept, r), len(kept) - 1)
+            runs = len(set(i[kept[i] == r].tolist())) / len(kept)
+        return self.weighs(k, at, MIN_WEIGHT - RUNS * runs)
 
     def _bounds(self, k: int, at: np.ndarray, pos: np.ndarray, size: int, n: int, runs: float) -> np.ndarray:
         """For each of n windows of `size` words the number of item k's words that it has in any order; 0 where their weight is too little.
@@ -391,32 +467,47 @@ class Items:
         hi = np.minimum(pos, n - 1) + 1
         some = lo < hi
         lo, hi, x = lo[some], hi[some], heavy[at[some]]
-        count = np.cumsum(np.bincount(lo, minlength=n + 1) - np.bincount(hi, minlength=n + 1))[:n]
-        weight = np.cumsum(np.bincount(lo, x, n + 1) - np.bincount(hi, x, n + 1))[:n]
-        return np.where(weight + RUNS * runs >= MIN_WEIGHT - 1e-9, count, 0)
+        enough = np.cumsum(np.bincount(lo, x, n + 1) - np.bincount(hi, x, n + 1))[:n] + RUNS * runs >= MIN_WEIGHT - 1e-9
+        if not enough.any():
+            return np.zeros(n, np.int64)
+        return np.cumsum(np.bincount(lo, minlength=n + 1) - np.bincount(hi, minlength=n + 1))[:n] * enough
 
-    def order(self, k: int, words: np.ndarray, runs: float = 0.0) -> tuple[float, int]:
+    def order(self, k: int, words: np.ndarray, runs: float = 1.0, seen: np.ndarray | None = None) -> tuple[float, int]:
         """Share of item k's words that the best window of the text has in order, and where the window starts; 0 when no window is a leak.
 
-        runs: share of the item's runs that the whole text has. What a window has of the item's words bounds what it
-        has in order; so does what a stretch of twice its length has of the heavier words in order, whose number bounds
-        their weight; and a window n words on has at most n more. Windows that no bound rules out are aligned.
+        runs: share of the item's runs that the whole text has, at most. seen: see seen(). What a window has of the item's words
+        bounds what it has in order; so does what a stretch of twice its length has in order, by weight and by number;
+        and a window n words on has at most n more. Windows that no bound rules out are aligned.
         """
         a = self.words[k]
-        distinct, _, _, mask, light, most = self.bags[k]
+        distinct, _, _, mask, light, rest, which, x = self.bags[k]
         least, size = MIN_ORDER * len(a), min(int(1.3 * len(a)) + STEP, len(words))
         n = len(words) - size + 1
-        at = np.minimum(np.searchsorted(distinct, words), len(distinct) - 1)
-        pos = np.flatnonzero(distinct[at] == words)
+        mine = self.sums[k][0]
+        self.local[mine] = np.arange(len(mine))
+        at = self.local[self.seen(words) if seen is None else seen]
+        self.local[mine] = -1
+        pos = np.flatnonzero(at >= 0)
         at = at[pos]
         bound = self._bounds(k, at, pos, size, n, runs)
+        if bound.max() < least:
+            return 0.0, 0
+        need = MIN_WEIGHT - RUNS * runs - 1e-9 - rest
         heavy = ~light[at]
-        heavy_pos, heavy_mask = pos[heavy], [mask[j] for j in at[heavy].tolist()]
+        heavy_pos, heavy_at = pos[heavy], at[heavy]
         for lo in range(0, n, size):
             if bound[lo : lo + size].max() >= least:
-                i, j = np.searchsorted(heavy_pos, (lo, min(lo + size, n) + size - 1))
-                if most[aligned(len(a), heavy_mask[i:j])] + RUNS * runs < MIN_WEIGHT - 1e-9:
+                ends = lo, min(lo + size, n) + size - 1
+                i, j = np.searchsorted(heavy_pos, ends)
+                part = heavy_at[i:j]
+                c = aligned(len(a), [mask[w] for w in part.tolist()])
+                has = np.bincount(part, minlength=len(distinct)) > 0
+                if x[has[which]][:c].sum() < need or not self.weighs(k, part, need):
                     bound[lo : lo + size] = 0
+                else:
+                    i, j = np.searchsorted(pos, ends)
+                    c = aligned(len(a), [mask[w] for w in at[i:j].tolist()])
+                    bound[lo : lo + size] = np.minimum(bound[lo : lo + size], c)
         if bound.max() < least:
             return 0.0, 0
         found, far = [mask[j] for j in at.tolist()], np.arange(n)
@@ -428,7 +519,7 @@ class Items:
             i, j = np.searchsorted(pos, (lo, lo + size))
             c = aligned(len(a), found[i:j])
             bound = np.minimum(bound, c + np.abs(far - lo))
-            if c > best and c >= least and self.answered(k, words[lo : lo + size]):
+            if c > best and c >= least and self.answered(k, words[lo : lo + size], at[i:j]):
                 best, where = c, lo
             else:
                 bound[lo] = min(c, best)
@@ -438,31 +529,38 @@ def _search(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, items = shared.value
         q, of = items.queries(weights)
-        start = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else of
+        weights = np.append(weights, np.zeros_like(weights[:1]), axis=0)  # what no word adds: see passages()
+        many = np.bincount(of, minlength=len(items.words))
+        o = np.argsort(-many, kind="stable")  # items with the most passages first: a passage of each, then a second one of those that have it, and so on
+        back, start = np.argsort(o), np.cumsum(many) - many
+        level = [o[: np.searchsorted(-many[o], -j)] for j in range(many.max(initial=0))]
+        turned = np.ascontiguousarray(q[np.concatenate([start[x] + j for j, x in enumerate(level)])].T) if len(q) else q.T
         read = Reader()
         for b in batches:
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             out = []
             for lo in range(0, len(ids), 64):
                 words = [read(t) for t in texts[lo : lo + 64]]
-                p = [passages(weights, w) for w in words]
-                n = [len(x) for x in p]
-                p = np.concatenate(p)
+                p, n = passages(weights, words)
                 if not len(p) or not len(q):
                     continue
-                best = np.empty((len(p), len(start)), np.float32)
-                for r in range(0, len(p), 512):
-                    best[r : r + 512] = np.maximum.reduceat(p[r : r + 512] @ q.T, start, axis=1)
+                best = np.empty((len(p), len(o)), np.float32)
+                for r in range(0, len(p), 256):
+                    cosines, top, j = p[r : r + 256] @ turned, best[r : r + 256], 0
+                    top[:] = cosines[:, : len(o)]
+                    for x in level:
+                        np.maximum(top[:, : len(x)], cosines[:, j : j + len(x)], out=top[:, : len(x)])
+                        j += len(x)
                 at = 0
-                for i, w, m in zip(ids[lo : lo + 64], words, n):
+                for i, w, m in zip(ids[lo : lo + 64], words, n.tolist()):
                     if m:
-                        cos = best[at : at + m].max(axis=0)
+                        cos = best[at : at + m].max(axis=0)[back]
                         at += m
                         if cos.max() < MIN_COSINE and not items.short.any():
                             continue
-                        runs = items.shared_runs(w)
-                        for k in items.candidates(cos, runs, w).tolist():
-                            share, where = items.order(k, w, float(runs[k]))
+                        runs, seen = items.shared_runs(w), items.seen(w)
+                        for k in items.candidates(cos, runs, w, seen).tolist():
+                            share, where = items.order(k, w, float(runs[k]), seen)
                             if share >= MIN_ORDER:
                                 out += [(i, one, float(cos[k]), float(runs[k]), share, where) for one in items.ids[k]]
             cols = list(zip(*out)) or [()] * 6
