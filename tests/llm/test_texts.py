@@ -209,6 +209,28 @@ def test_viterbi_is_best_path():
             assert score(path) == pytest.approx(best, abs=1e-4)
 
 
+def test_tags_without_a_second_copy_of_the_scores():
+    """Scores come as the search reads them; ties, what is forbidden and padding are as in the plain search."""
+    w, rng = pii_model.load(), np.random.default_rng(4)
+    x = np.zeros((3, 64), np.int16)
+    for row, t in zip(x, (TEXT[:64], TEXT[50:90], "x")):
+        row[: len(t)] = pii_model.classes(t)
+    e = pii_model._emissions(w, x)
+    assert e.shape == (64, pii_model.TAGS, 3) and e.flags.c_contiguous and np.array_equal(pii_model.emissions(w, x), e.transpose(2, 0, 1))
+    trans = w["trans"].astype(np.float32)
+    for e in (e, rng.integers(-2, 3, e.shape).astype(np.float32), np.zeros_like(e)):
+        for scores, path in zip(e.transpose(2, 0, 1), pii_model._decode(e, trans)):
+            s, back = trans[0] + scores[0], []
+            for y in scores[1:]:
+                all_ = s[:, None] + trans
+                back.append(all_.argmax(axis=0))
+                s = all_.max(axis=0) + y
+            best = [(s + trans[:, 0]).argmax()]
+            for b in back[::-1]:
+                best.append(b[best[-1]])
+            assert path.tolist() == best[::-1]
+
+
 def test_training_learns(tmp_path, monkeypatch):
     from tidewright.llm import pii_train
 

@@ -105,54 +105,70 @@ def prepared(w: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     return out
 
 
-def emissions(w: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
-    """Scores (windows, characters, TAGS). w: see prepared(); the characters are a multiple of CHARS."""
+def _emissions(w: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
+    """Scores (characters, TAGS, windows), as the search reads them. w: see prepared(); the characters are a multiple of CHARS."""
     x = x.astype(np.int64)
     index = [np.ascontiguousarray((x[:, k::CHARS] * CLASSES + x[:, k + 1 :: CHARS]).T) for k in range(0, CHARS, 2)]
-    h = [_scan([w[f"pair{k}_{s}"] for k in range(0, CHARS, 2)], index, w[f"u_{s}"], s == "b") for s in "fb"]
-    e = h[0].reshape(-1, HIDDEN) @ w["out"][:HIDDEN] + h[1].reshape(-1, HIDDEN) @ w["out"][HIDDEN:] + w["bias"]
-    return e.reshape(x.shape[1] // CHARS, len(x), CHARS, TAGS).transpose(1, 0, 2, 3).reshape(len(x), x.shape[1], TAGS)
+    h = [_scan([w[f"pair{k}_{s}"] for k in range(0, CHARS, 2)], index, w[f"u_{s}"], s == "b").transpose(0, 2, 1) for s in "fb"]
+    out = np.ascontiguousarray(w["out"].T)
+    e = np.matmul(out[:, :HIDDEN], h[0])
+    e += np.matmul(out[:, HIDDEN:], h[1])
+    e += w["bias"][:, None]
+    return e.reshape(x.shape[1], TAGS, len(x))
 
 
-def decode(e: np.ndarray, trans: np.ndarray) -> np.ndarray:
-    """The best tags (windows, characters) by the Viterbi algorithm over all characters; O stands before the first and after the last.
+def emissions(w: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
+    """Scores (windows, characters, TAGS). w: see prepared(); the characters are a multiple of CHARS."""
+    return _emissions(w, x).transpose(2, 0, 1)
+
+
+def _decode(e: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """See decode(). e: scores (characters, TAGS, windows).
 
     Windows are the last axis, so that every step is a few operations on long rows. A further character has two tags
-    that can come before it, O and first characters have all.
+    that can come before it, O and first characters have all. On the way back only those windows are looked at that are
+    not in O with O as the best before it.
     """
-    e = np.ascontiguousarray(e.transpose(1, 2, 0), np.float32)
     length, k, n = e.shape
     trans = trans.astype(np.float32)
-    into, further = np.r_[0, 1:k:2], np.arange(2, k, 2)
-    t = np.ascontiguousarray(trans[:, into])[:, :, None]
+    t = np.ascontiguousarray(trans[:, np.r_[0, 1:k:2]])[:, :, None]
+    further = np.arange(2, k, 2)
     begun, again = trans[further - 1, further][:, None], trans[further, further][:, None]
-    scores = np.empty((length, k, n), np.float32)
-    best, some = np.empty((len(into), n), np.float32), np.empty((len(into), n), np.float32)
+    scores, leaves = np.empty((length, k, n), np.float32), np.zeros((length, n), bool)
+    all_, best, go_on, start = (np.empty(s, np.float32) for s in ((k, len(t[0]), n), (len(t[0]), n), (len(further), n), (len(further), n)))
     np.add(trans[0][:, None], e[0], out=scores[0])
     for i in range(1, length):
         score, new = scores[i - 1], scores[i]
-        np.add(score[0], t[0], out=best)
-        for j in range(1, k):
-            np.add(score[j], t[j], out=some)
-            np.maximum(best, some, out=best)
-        new[into] = best
-        new[further] = np.maximum(score[further - 1] + begun, score[further] + again)
-        new += e[i]
-    tags = np.empty((length, n), np.int8)
+        np.add(score[:, None], t, out=all_)
+        np.maximum.reduce(all_, axis=0, out=best)
+        np.not_equal(all_[0, 0], best[0], out=leaves[i])
+        np.add(best[0], e[i, 0], out=new[0])
+        np.add(best[1:], e[i, 1::2], out=new[1::2])
+        np.add(score[1::2], begun, out=start)
+        np.add(score[2::2], again, out=go_on)
+        np.maximum(start, go_on, out=go_on)
+        np.add(go_on, e[i, 2::2], out=new[2::2])
+    tags = np.zeros((length, n), np.int8)
     tags[-1] = (scores[-1] + trans[:, 0][:, None]).argmax(axis=0)
     for i in range(length - 1, 0, -1):  # what came before is found again for the one tag that each window has
-        tags[i - 1] = (scores[i - 1] + trans.take(tags[i], axis=1)).argmax(axis=0)
+        some = np.flatnonzero(leaves[i] | (tags[i] > 0))
+        if len(some):
+            tags[i - 1, some] = (scores[i - 1][:, some] + trans.take(tags[i, some], axis=1)).argmax(axis=0)
     return tags.T
 
 
+def decode(e: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """The best tags (windows, characters) by the Viterbi algorithm over all characters; O stands before the first and after the last."""
+    return _decode(np.ascontiguousarray(e.transpose(1, 2, 0), np.float32), trans)
+
+
 def tag(w: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
     """Tags (windows, characters) of the windows x; what is padded is O."""
-    e = emissions(w, x)
-    pad = x == 0
+    e = _emissions(w, x)
+    pad = x.T == 0
     if pad.any():
-        e[pad] = -1e4
-        e[:, :, 0][pad] = 0
-    return decode(e, w["trans"])
+        e.transpose(0, 2, 1)[pad] = np.r_[0, np.full(TAGS - 1, -1e4)].astype(np.float32)
+    return _decode(e, w["trans"])
 
 
 def load() -> dict[str, np.ndarray]:
